@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.tables import stage
 
+FAN_OUT = 32
+
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, component) for every node of links (a, b): the smallest node that can be reached.
@@ -28,3 +31,29 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         if not labels.where("old <> component").limit(1).count():
             return labels.select("node", "component")
         labels = labels.select("node", "component")
+
+
+def forest(n: int, pairs: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that pairs join it with."""
+    label = np.arange(n)
+    while len(pairs):
+        low = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
+        before = label.copy()
+        np.minimum.at(label, label[pairs[:, 0]], low)
+        np.minimum.at(label, label[pairs[:, 1]], low)
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == before).all():
+            break
+        pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+    return label
+
+
+def tree(values: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (child, parent) that join the values of each label by a tree with FAN_OUT children a node."""
+    order = np.lexsort((values, label))
+    v, lab = values[order], label[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, lab[1:] != lab[:-1]], np.arange(len(v)), 0))
+    nth = np.arange(len(v)) - first
+    child = nth > 0
+    return v[child], v[(first + (nth - 1) // FAN_OUT)[child]]

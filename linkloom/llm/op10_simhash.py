@@ -30,13 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.components import components
+from linkloom.llm.components import components, forest, tree
 from linkloom.llm.tables import lookup, read, small_batches, stage
 
 WORDS, SEED, BUDGET = 4, 42, 4
 #: Fingerprints that a group of the join should have at most on average, were bits independent.
 GROUP_ROWS = 256
-FAN_OUT = 32
 #: Node pairs of the trie walk held at once; more are walked in parts.
 PAIRS = 1 << 20
 
@@ -140,32 +139,6 @@ def linked(fps: np.ndarray, budget: int = BUDGET, skip: np.ndarray | None = None
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def forest(n: int, pairs: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node that pairs join it with."""
-    label = np.arange(n)
-    while len(pairs):
-        low = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
-        before = label.copy()
-        np.minimum.at(label, label[pairs[:, 0]], low)
-        np.minimum.at(label, label[pairs[:, 1]], low)
-        while (label[label] != label).any():
-            label = label[label]
-        if (label == before).all():
-            break
-        pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
-    return label
-
-
-def tree(values: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (child, parent) that join the values of each label by a tree with FAN_OUT children a node."""
-    order = np.lexsort((values, label))
-    v, lab = values[order], label[order]
-    first = np.maximum.accumulate(np.where(np.r_[True, lab[1:] != lab[:-1]], np.arange(len(v)), 0))
-    nth = np.arange(len(v)) - first
-    child = nth > 0
-    return v[child], v[(first + (nth - 1) // FAN_OUT)[child]]
-
-
 def _group_links(m: int, budget: int):
     cut, sets = blocks(m), choices(m, budget)
     widths = [np.uint64(((1 << w) - 1) << s) for s, w in cut]

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.components import components
-from linkloom.llm.op10_simhash import forest, tree
+from linkloom.llm.components import components, forest, tree
 from linkloom.llm.tables import lookup, read, small_batches, stage
 
 THRESHOLD = 0.98
