@@ -66,7 +66,7 @@ class Encoder:
         if len(self.known) + len(self.parts) > REMEMBERED:
             self.known, self.parts = {}, {"": b""}
         words, known = _words(text), self.known
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             known[w] = self.word(w)
         return b"".join(map(known.__getitem__, words))
 
