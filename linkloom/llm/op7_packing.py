@@ -13,16 +13,16 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.op8_tokens import REMEMBERED, vocabulary
+from linkloom.llm.op8_tokens import REMEMBERED, byte_symbols, vocabulary
 from linkloom.llm.tables import ranked, read, small_batches, stage
 
 VOCABULARY, END_ID, MAX_LENGTH = "word_bpe_49k.json", 1, 2048
@@ -31,6 +31,11 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)").fullmatch
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Ids of texts as the vocabulary's library gives them, as little-endian 32-bit integers.
 
@@ -39,30 +44,29 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary(path))
         self.model = self.library.model
-        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spelled = lambda s: "".join(x for x, _ in bytes_only.pre_tokenize_str(s))
+        self.spelling = dict(enumerate(byte_symbols()))
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
     def part(self, s: str) -> bytes:
         """Ids of a lower-case pre-token."""
         if (out := self.parts.get(s)) is None:
-            ids = [t.id for t in self.model.tokenize(s if s.isascii() else self.spelled(s))]
-            out = self.parts[s] = np.array(ids, "<u4").tobytes()
+            spelled = s if s.isascii() else s.encode().decode("latin-1").translate(self.spelling)
+            out = self.parts[s] = _packed([t.id for t in self.model.tokenize(spelled)])
         return out
 
     def word(self, w: str) -> bytes:
         if m := _PLAIN(w):
             return self.part(m[1].lower()) + self.part(m[2])
-        return np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.library.encode(w, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         if not unicodedata.is_normalized("NFC", text):  # normal forms may reach over white space
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _packed(self.library.encode(text, add_special_tokens=False).ids)
         if len(self.known) + len(self.parts) > REMEMBERED:
             self.known, self.parts = {}, {"": b""}
         words, known = _words(text), self.known
@@ -85,7 +89,7 @@ def pieces(tokens: int, longest: int = MAX_LENGTH) -> list[int]:
 
 def _cutter(path: str, end_id: int, longest: int):
     kind = "array<struct<start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint,ids:binary>>"
-    end = np.array([end_id], "<u4").tobytes()
+    end = _packed([end_id])
 
     @F.arrow_udf(kind)
     def cut(texts: pa.Array) -> pa.Array:

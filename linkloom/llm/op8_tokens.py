@@ -43,7 +43,7 @@ def vocabulary(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The character by which byte-level vocabularies write each byte."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
@@ -59,7 +59,7 @@ class Merger:
         ids = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.of_byte = np.array([ids[c] for c in _byte_symbols()], np.int64)
+        self.of_byte = np.array([ids[c] for c in byte_symbols()], np.int64)
         keys = np.array([(ids[a] << 20) | ids[b] for a, b in merges], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
@@ -132,7 +132,7 @@ class Merger:
         need = set().union(*cut)
         if len(self.known) + len(need) > REMEMBERED:
             self.known = {}
-        self.learn(need - self.known.keys())
+        self.learn({u for u in need if u not in self.known})
         get = self.known.__getitem__
         return [sum(map(get, units)) + more for units, more in zip(cut, extra, strict=True)]
 
