@@ -26,6 +26,8 @@ from linkloom.llm.op8_tokens import REMEMBERED, byte_symbols, vocabulary
 from linkloom.llm.tables import ranked, read, small_batches, stage
 
 VOCABULARY, END_ID, MAX_LENGTH = "word_bpe_49k.json", 1, 2048
+#: Buckets of pieces of one length in which sequences are numbered.
+SPREAD = 4096
 #: Words that can be encoded one by one: Latin letters that have no other normal form, then ASCII marks.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)").fullmatch
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -87,11 +89,11 @@ def pieces(tokens: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * (tokens // longest) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def _cutter(path: str, end_id: int, longest: int):
-    kind = "array<struct<start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint,ids:binary>>"
+def _cutter(path: str, end_id: int, longest: int, keep_ids: bool):
+    fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), *([("ids", pa.binary())] if keep_ids else [])]
+    kind = "array<struct<" + ",".join(f"{n}:{'binary' if n == 'ids' else 'bigint'}" for n, _ in fields) + ">>"
     end = _packed([end_id])
 
-    @F.arrow_udf(kind)
     def cut(texts: pa.Array) -> pa.Array:
         rows = []
         for x in texts:
@@ -99,25 +101,33 @@ def _cutter(path: str, end_id: int, longest: int):
             n, start, row = len(data) // 4, 0, []
             for length in pieces(n, longest):
                 own = data[4 * start : 4 * (start + length)]
-                row.append({"start": start, "length": length, "ids_crc32": zlib.crc32(own), "doc_tokens": n, "ids": own})
+                row.append({"start": start, "length": length, "ids_crc32": zlib.crc32(own), "doc_tokens": n} | ({"ids": own} if keep_ids else {}))
                 start += length
             rows.append(row)
-        return pa.array(rows, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])))
+        return pa.array(rows, pa.list_(pa.struct(fields)))
 
-    return cut.asNondeterministic()
+    return F.arrow_udf(cut, kind).asNondeterministic()
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, end_id: int = END_ID, longest: int = MAX_LENGTH, keep_ids: bool = True) -> DataFrame:
-    """A row per piece: key, start, length, ids_crc32, doc_tokens, ids (binary, if kept), sequence_id, offset."""
+    """A row per piece: key, start, length, ids_crc32, doc_tokens, ids (binary, if kept), sequence_id, offset.
+
+    Without ids the pieces are staged.  With ids, which outweigh the texts, texts are encoded twice
+    instead: once to count the pieces of each bucket, once for the pieces, which are shuffled once.
+    """
     small_batches(docs.sparkSession)
-    cut = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).select("__key", F.explode(_cutter(path, end_id, longest)("__text")).alias("p"))
-    names = ["start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
-    held = stage(cut.select("__key", *(f"p.{n}" for n in names)), "pieces")
+    own = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+
+    def cut(ids: bool) -> DataFrame:
+        return own.select("__key", F.explode(_cutter(path, end_id, longest, ids)("__text")).alias("p")).select("__key", "p.*")
+
     # Longest first; within a length in an order that only depends on the piece.
-    spread = 64
-    order = (F.lit(longest.bit_length()) - F.floor(F.log2("length") + 0.5)).cast("long") * spread + F.pmod(F.xxhash64("__key", "start"), F.lit(spread))
-    out = ranked(held, [], [F.col("__key"), F.col("start")], "sequence_id", bucket=order)
-    return out.select(F.col("__key").alias(key), *names, "sequence_id", F.lit(0).cast("long").alias("offset"))
+    spread = F.pmod(F.xxhash64("__key", "start"), F.lit(SPREAD))
+    order = (F.lit(longest.bit_length()) - F.floor(F.log2("length") + 0.5)).cast("long") * SPREAD + spread
+    narrow = cut(False)
+    held = None if keep_ids else stage(narrow, "pieces")
+    out = ranked(cut(True) if keep_ids else held, [], [F.col("__key"), F.col("start")], "sequence_id", bucket=order, rows=narrow if keep_ids else None)
+    return out.select(F.col("__key").alias(key), "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else []), "sequence_id", F.lit(0).cast("long").alias("offset"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,17 +54,18 @@ def drop_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ranked(df: DataFrame, by: list[str], order: list[Column], name: str, bucket: Column | None = None, buckets: int = 1024) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: list[Column], name: str, bucket: Column | None = None, buckets: int = 1024, rows: DataFrame | None = None) -> DataFrame:
     """Adds `name`: a gapless rank from 0 within `by`, though a value of `by` may hold most rows.
 
     Rows fall into `buckets` by `bucket` (a hash of the order columns if none is given; order between
     buckets is by their number).  A rank is the size of all earlier buckets plus the rank in the own
-    one, so that no window holds more than a bucket.  df is read twice: give a staged one.  The columns of
-    `by` must not be null.
+    one, so that no window holds more than a bucket.  df is read twice: give a staged one, or `rows` to
+    count the buckets by, the same rows without what is heavy.  The columns of `by` must not be null.
     """
     b, first = f"__{name}_b", f"__{name}_first"
-    df = df.withColumn(b, bucket if bucket is not None else F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = df.groupBy(*by, b).agg(F.count(F.lit(1)).alias("__n"))
+    bucket = bucket if bucket is not None else F.pmod(F.xxhash64(*order), F.lit(buckets))
+    df = df.withColumn(b, bucket)
+    sizes = (df if rows is None else rows.withColumn(b, bucket)).groupBy(*by, b).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*by).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     firsts = sizes.select(*by, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(first))
     inside = F.row_number().over(W.partitionBy(*by, b).orderBy(*order)) - 1
