@@ -183,9 +183,9 @@ def _reader(folder: str, payloads: bool):
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """A row per record of the files in the manifest; the files are dealt over all tasks."""
-    files = manifest.select("file")
+    files = manifest.select("file").repartition(max(1, min(MAX_SHARDS, manifest.count())), "file")  # a count keeps Spark from joining these few rows to one task
     kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return files.repartition("file").mapInArrow(_reader(folder, payloads), kind)
+    return files.mapInArrow(_reader(folder, payloads), kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
