@@ -125,7 +125,8 @@ def tfidf(s1: DataFrame, targets: DataFrame, top_k: int = 15, threshold: float =
     Terms are ordered from rare to frequent.  The rarest term that a pair shares must come, in both
     vectors, before the rest of the vector (from that term on) has a norm under the threshold, for
     the cosine is at most the product of these norms.  So candidates come from those leading terms
-    alone, which leaves the postings of frequent terms out of the join; the cosine is then exact.
+    alone, and only where the product reaches the threshold, which leaves the postings of frequent
+    terms out of the join; the cosine is then exact.
     """
     of_targets = _terms(targets, "target_id", ngram_range)
     n = targets.select(F.count(F.lit(1)).alias("n"))
@@ -141,11 +142,12 @@ def tfidf(s1: DataFrame, targets: DataFrame, top_k: int = 15, threshold: float =
 
     a, b = vectors(_terms(s1, "s1_id", ngram_range), "s1_id"), vectors(of_targets, "target_id")
     leads = F.col("rest") >= threshold - 1e-9
-    hits = a.where(leads).select("s1_id", "term").join(b.where(leads).select("target_id", "term"), "term").select("s1_id", "target_id").distinct()
+    asked, known = a.where(leads).select("s1_id", "term", F.col("rest").alias("ra")), b.where(leads).select("target_id", "term", F.col("rest").alias("rb"))
+    hits = asked.join(known, "term").where(F.col("ra") * F.col("rb") >= threshold - 1e-9).select("s1_id", "target_id").distinct()
     whole = lambda v, id_name, name: v.groupBy(id_name).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias(name))
     scored = hits.join(whole(a, "s1_id", "va"), "s1_id").join(whole(b, "target_id", "vb"), "target_id")
-    shared = F.array_intersect(F.map_keys("va"), F.map_keys("vb"))
-    cosine = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.element_at("va", t) * F.element_at("vb", t))
+    products = F.map_values(F.map_zip_with("va", "vb", lambda _, x, y: F.coalesce(x * y, F.lit(0.0))))
+    cosine = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
     scored = scored.select("s1_id", "target_id", cosine.alias("score")).where(F.col("score") >= threshold)
     scored = scored.join(targets.select(F.col("entity_id").alias("target_id"), "ord"), "target_id")
     w = W.partitionBy("s1_id").orderBy(F.desc(F.round("score", 9)), "ord")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +11,7 @@ from pyspark.sql import functions as F
 from linkloom.operators import candidates, decide, metrics, model
 from linkloom.operators.features import pair_features
 from linkloom.sources import records
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder if one is set, else persisted."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        return df.persist()
-    path = f"{root.rstrip('/')}/linkloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from linkloom.sources.stages import staged
 
 
 def score(s1: DataFrame, targets: DataFrame, matcher: model.Matcher, preset: str | list[str] = "baseline_parity", partition_by_country: bool = False, **options: dict) -> tuple[DataFrame, DataFrame]:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import text
 from linkloom.operators import candidates, decide, evidence, features, metrics, model, profile, routes, validate
-from linkloom.plans.linkage import staged
+from linkloom.operators.records import normalize
 from linkloom.sources import bridge, records
+from linkloom.sources.stages import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,12 +43,12 @@ def six(*names: str):
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return bridge.sides(spark, sf_dir)
+    """Normalised S1 records and targets, staged once for all the joins of a query."""
+    s1, targets = bridge.sides(spark, sf_dir)
+    return staged(s1, "s1"), staged(targets, "targets")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from linkloom.operators.records import normalize
-
     return normalize(bridge.records(spark, sf_dir), keep=["grp"])
 
 
@@ -162,7 +163,7 @@ _UNION = f"""u AS (SELECT 'exact_name' AS route, 1.0 AS score, 1 AS rk, * FROM (
 
 def _composed(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     s1, targets = _sides(spark, sf_dir)
-    return s1, targets, candidates.generate(s1, targets, COMPOSED)
+    return s1, targets, staged(candidates.generate(s1, targets, COMPOSED), "candidates")
 
 
 @query("er_candidate_union", f", {_UNION} SELECT s1_id, target_id, array_to_string(routes, ',') AS routes, best, route_rank::BIGINT AS route_rank, ord FROM cand")
@@ -241,7 +242,6 @@ _SCORE = f"""{_UNION}
 
 def _scored(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     s1, targets, found = _composed(spark, sf_dir)
-    found = staged(found, "candidates")
     a, b = F.col("a"), F.col("b")
     address = features.address_features(a, b)["addr_token_jaccard"]
     mean = (text.jaccard(a["name_tokens"], b["name_tokens"]) + address) / 2.0
@@ -368,7 +368,7 @@ def _blocking_stats(spark, sf_dir):
     from functools import reduce
 
     s1, targets, found = _composed(spark, sf_dir)
-    found, truth = staged(found, "candidates"), bridge.truth(s1, targets)
+    truth = bridge.truth(s1, targets)
     each = [metrics.blocking_stats(found.where(text.any_of([F.array_contains("routes", r) for r in v])), truth, s1, targets, k) for k, v in COMBINATIONS.items()]
     return reduce(DataFrame.unionByName, each)
 
@@ -381,9 +381,9 @@ GRID = model.linspace(0.35, 0.85, 51, 3)
     f""", {_SCORE}
 , th AS (SELECT unnest({GRID}::DOUBLE[]) AS threshold)
 , n AS (SELECT s.entity_id AS s1_id, count(q.target_id) AS n_true FROM s LEFT JOIN truth q ON q.s1_id = s.entity_id GROUP BY 1)
-, k AS (SELECT z.s1_id, z.score, (q.target_id IS NOT NULL)::INT AS hit FROM z LEFT JOIN truth q ON q.s1_id = z.s1_id AND q.target_id = z.target_id WHERE rank <= {MAX_MATCHES})
-, c AS (SELECT threshold, k.s1_id, count(*) AS n_pred, sum(hit) AS n_hit FROM th JOIN k ON k.score >= threshold GROUP BY 1, 2)
-, v AS (SELECT th.threshold, n.s1_id, n_true, coalesce(n_pred, 0) AS n_pred, coalesce(n_hit, 0) AS n_hit FROM th CROSS JOIN n LEFT JOIN c ON c.threshold = th.threshold AND c.s1_id = n.s1_id)
+, kept AS (SELECT z.s1_id, z.score, (q.target_id IS NOT NULL)::INT AS hit FROM z LEFT JOIN truth q ON q.s1_id = z.s1_id AND q.target_id = z.target_id WHERE rank <= {MAX_MATCHES})
+, cc AS (SELECT threshold, k.s1_id, count(*) AS n_pred, sum(hit) AS n_hit FROM th JOIN kept k ON k.score >= threshold GROUP BY 1, 2)
+, v AS (SELECT th.threshold, n.s1_id, n_true, coalesce(n_pred, 0) AS n_pred, coalesce(n_hit, 0) AS n_hit FROM th CROSS JOIN n LEFT JOIN cc c ON c.threshold = th.threshold AND c.s1_id = n.s1_id)
 SELECT threshold, round(avg(CASE WHEN n_true = 0 THEN (n_pred = 0)::INT::DOUBLE WHEN n_hit = 0 THEN 0.0 ELSE 1.25 * (n_hit::DOUBLE / n_pred) * (n_hit::DOUBLE / n_true) / (0.25 * (n_hit::DOUBLE / n_pred) + n_hit::DOUBLE / n_true) END), 6) AS macro_f05 FROM v GROUP BY threshold""",
 )
 def _threshold_sweep(spark, sf_dir):
