@@ -28,7 +28,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.tables import read
+from linkloom.llm.tables import read, stage
 
 #: Base patterns.  They match what the plain forms match, but possessively and never from within a run,
 #: so that long runs of letters or digits cost a single pass.
@@ -50,7 +50,7 @@ KINDS = [*BASE, *CANDIDATES]
 _CONTEXT = {"says_phone": r"(?i)(?:phone|tel|call|mobile|fax|whatsapp)\W{0,4}$", "says_id": r"(?i)(?:ssn|social security|identity|passport|tax id)\D{0,8}$", "says_mail": r"(?i)(?:mail|contact|write|reach)\W{0,3}(?:me |us |to ){0,2}$"}
 FEATURES = ["kind", "length", "digits", "letters", "upper", "groups", "first", "last", "dots", "dashes", "parens", "quotes", "brackets", "switches", "leading_zero", *_CONTEXT]
 
-EXAMPLES, PRECISION, TREES, DEPTH, SEED = 4096, 0.99, 8, 4, 11
+EXAMPLES, PRECISION, TREES, DEPTH, SEED = 4096, 0.99, 6, 4, 11
 _BEFORE = 24
 
 
@@ -181,7 +181,8 @@ def fit(spark: SparkSession) -> tuple[list[tuple[float, list]], float]:
     app = spark.sparkContext.applicationId
     if app not in _FITTED:
         rows = examples(spark).select("id", "label", features(F.col("m"), F.col("before"), F.col("kind")).alias("f")).select("id", "label", "f.*")
-        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("id", "label", "features", *FEATURES)
+        # Staged, for the fit reads it many times, and each plan over the generated texts is large.
+        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(stage(rows.coalesce(1), "pii-examples"))
         # Forms alternate by id, so halves are taken by blocks of all forms.
         train, held = rows.where(F.floor(F.col("id") / 16) % 2 == 0), rows.where(F.floor(F.col("id") / 16) % 2 == 1)
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxBins=64).fit(train.select("label", "features"))
