@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from linkloom.functions import text
+from linkloom.sources.stages import staged
 
 Route = Callable[[DataFrame, DataFrame], DataFrame]
 #: The rank of routes, which orders ties.
@@ -126,29 +127,29 @@ def tfidf(s1: DataFrame, targets: DataFrame, top_k: int = 15, threshold: float =
     vectors, before the rest of the vector (from that term on) has a norm under the threshold, for
     the cosine is at most the product of these norms.  So candidates come from those leading terms
     alone, and only where the product reaches the threshold, which leaves the postings of frequent
-    terms out of the join; the cosine is then exact.
+    terms out of the join; the cosine is then exact.  Terms and vectors, which several steps read, are
+    staged.
     """
-    of_targets = _terms(targets, "target_id", ngram_range)
+    of_targets = staged(_terms(targets, "target_id", ngram_range), "terms")
     n = targets.select(F.count(F.lit(1)).alias("n"))
     counts = of_targets.groupBy("term").agg(F.sum("tf").alias("all"), F.count(F.lit(1)).alias("df"))
     vocabulary = counts.orderBy(F.desc("all"), "term").limit(max_features).crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    vocabulary = staged(vocabulary, "vocabulary")
 
     def vectors(terms: DataFrame, id_name: str) -> DataFrame:
         v = terms.join(vocabulary, "term").withColumn("raw", F.col("tf") * F.col("idf"))
         own = W.partitionBy(id_name)
         v = v.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(own)))
         rest = own.orderBy("df", "term").rowsBetween(W.currentRow, W.unboundedFollowing)
-        return v.withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))).select(id_name, "term", "weight", "rest")
+        v = v.withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest)))
+        return staged(v.select(id_name, "term", "weight", "rest"), f"{id_name}-vectors")
 
     a, b = vectors(_terms(s1, "s1_id", ngram_range), "s1_id"), vectors(of_targets, "target_id")
     leads = F.col("rest") >= threshold - 1e-9
     asked, known = a.where(leads).select("s1_id", "term", F.col("rest").alias("ra")), b.where(leads).select("target_id", "term", F.col("rest").alias("rb"))
     hits = asked.join(known, "term").where(F.col("ra") * F.col("rb") >= threshold - 1e-9).select("s1_id", "target_id").distinct()
-    whole = lambda v, id_name, name: v.groupBy(id_name).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias(name))
-    scored = hits.join(whole(a, "s1_id", "va"), "s1_id").join(whole(b, "target_id", "vb"), "target_id")
-    products = F.map_values(F.map_zip_with("va", "vb", lambda _, x, y: F.coalesce(x * y, F.lit(0.0))))
-    cosine = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-    scored = scored.select("s1_id", "target_id", cosine.alias("score")).where(F.col("score") >= threshold)
+    terms = hits.join(a.select("s1_id", "term", F.col("weight").alias("wa")), "s1_id").join(b.select("target_id", "term", F.col("weight").alias("wb")), ["target_id", "term"])
+    scored = terms.groupBy("s1_id", "target_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).where(F.col("score") >= threshold)
     scored = scored.join(targets.select(F.col("entity_id").alias("target_id"), "ord"), "target_id")
     w = W.partitionBy("s1_id").orderBy(F.desc(F.round("score", 9)), "ord")
     return scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top_k).select("s1_id", "target_id", F.lit("tfidf").alias("route"), "score", "ord")
