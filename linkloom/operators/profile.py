@@ -40,9 +40,9 @@ def countries(df: DataFrame) -> DataFrame:
     return df.select(F.trim("country").alias("country")).where("country <> ''").groupBy("country").agg(F.count(F.lit(1)).alias("n"))
 
 
-def frequent(df: DataFrame, rows: int = FREQUENT_ROWS, top: int = TOP) -> DataFrame:
-    """(what, value, n): the most frequent names, addresses and tokens of three characters or more among the first rows; ties by first occurrence."""
-    early = df.orderBy("ord").limit(rows)
+def frequent(df: DataFrame, rows: int | None = FREQUENT_ROWS, top: int = TOP) -> DataFrame:
+    """(what, value, n): the most frequent names, addresses and tokens of three characters or more among the first rows, or all if rows is None; ties by first occurrence."""
+    early = df if rows is None else df.orderBy("ord").limit(rows)
     name, addr = text.business_name(F.trim("business_name")), text.address(F.trim("business_address"))
     n = early.select("ord", F.when(F.trim("business_name") != "", name).alias("name"), F.when(F.trim("business_address") != "", addr).alias("addr"))
     words = F.filter(text.tokens(F.col("name")), lambda t: F.length(t) >= 3)

@@ -472,7 +472,7 @@ SELECT what, value, count(*) AS n, (row_number() OVER (PARTITION BY what ORDER B
 )
 def _frequent(spark, sf_dir):
     """A top-k report, over all rows."""
-    return profile.frequent(bridge.records(spark, sf_dir), rows=2_000_000_000)
+    return profile.frequent(bridge.records(spark, sf_dir), rows=None)
 
 
 _TRUTH_ROWS = "tr AS (SELECT s.entity_id, count(q.target_id) AS k, coalesce(max((q.target_id LIKE 'S2-%')::INT), 0) AS s2, coalesce(max((q.target_id LIKE 'S3-%')::INT), 0) AS s3 FROM s LEFT JOIN truth q ON q.s1_id = s.entity_id GROUP BY 1)"
