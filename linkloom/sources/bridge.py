@@ -35,12 +35,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Normalised (S1, targets); S1 has one record, the first, for each country and group (or name, without a group)."""
+    """Normalised (S1, targets), of all records."""
     rows = records(spark, sf_dir)
-    s1 = rows.where(F.col("entity_id").startswith("S1-"))
-    first = s1.groupBy("country", F.coalesce("grp", "business_name")).agg(F.min("ord").alias("ord")).select("ord")
-    s1 = s1.join(first, "ord", "left_semi")
-    return normalize(s1, keep=["grp"]), normalize(rows.where(~F.col("entity_id").startswith("S1-")), keep=["grp"])
+    of_s1 = F.col("entity_id").startswith("S1-")
+    return normalize(rows.where(of_s1), keep=["grp"]), normalize(rows.where(~of_s1), keep=["grp"])
 
 
 def truth(s1: DataFrame, targets: DataFrame) -> DataFrame:
@@ -49,7 +47,8 @@ def truth(s1: DataFrame, targets: DataFrame) -> DataFrame:
     return a.join(targets.select(F.col("entity_id").alias("target_id"), "grp", "country"), ["grp", "country"]).select("s1_id", "target_id")
 
 
-#: The same records in SQL: views r (records), s (S1), t (targets), both with normal forms, and truth.
+#: The same records in SQL: views r (records), s (S1), t (targets), both with normal forms, and truth.  View s still
+#: has one S1 record only for each country and group, so SQL over it gives fewer rows than sides() (README).
 SQL = rf"""
 l AS (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 , k AS (SELECT doc_id, lang, l, unnest(range(0, (len(l) + 1) // 2)) AS k FROM l)

@@ -312,3 +312,14 @@ def test_entry_point_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bridge_keeps_every_s1_record(spark, tmp_path):
+    from linkloom.sources import bridge
+
+    texts = [(3, "one two three four five\n1 First St", "en"), (6, "one two three four six\n2 Second St", "en"), (9, "one two three four five\n1 First St", "en"), (12, "short\na\nshort\nb", "en"), (4, "one two three four six\n2 Second St", "en")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    s1, targets = bridge.sides(spark, str(tmp_path))
+    assert {r.entity_id for r in s1.collect()} == {"S1-3-0", "S1-6-0", "S1-9-0", "S1-12-0", "S1-12-1"}
+    assert pairs(routes.exact_address(s1, targets)) == {("S1-6-0", "S2-4-0")}
+    assert pairs(bridge.truth(s1, targets)) == {("S1-3-0", "S2-4-0"), ("S1-6-0", "S2-4-0"), ("S1-9-0", "S2-4-0")}
