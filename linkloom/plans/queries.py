@@ -19,7 +19,7 @@ from linkloom.sources.stages import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Arguments of the n-gram route here: names are whole lines, so pairs share many grams.
+#: Limits of the n-gram route's SQL only; the query has the route's own, so it gives more rows (README).
 NGRAM = {"min_overlap": 30, "max_candidates_per_key": 20}
 #: The routes of the composed pipeline.
 COMPOSED = ["exact_name", "exact_address", "numeric_anchors"]
@@ -128,7 +128,7 @@ _route("exact_address", _ADDRESS)
 _route("exact_name_address", _JOINT)
 _route("numeric_anchors", _NUMERIC)
 _route("phonetic", _PHONETIC, _SOUNDEX)
-_route("char_ngram", _NGRAMS, **NGRAM)
+_route("char_ngram", _NGRAMS)
 _route("rare_tokens", "FROM rare", _RARE_VIEWS)
 
 

@@ -323,3 +323,13 @@ def test_bridge_keeps_every_s1_record(spark, tmp_path):
     assert {r.entity_id for r in s1.collect()} == {"S1-3-0", "S1-6-0", "S1-9-0", "S1-12-0", "S1-12-1"}
     assert pairs(routes.exact_address(s1, targets)) == {("S1-6-0", "S2-4-0")}
     assert pairs(bridge.truth(s1, targets)) == {("S1-3-0", "S2-4-0"), ("S1-6-0", "S2-4-0"), ("S1-9-0", "S2-4-0")}
+
+
+def test_char_ngram_query_has_the_limits_of_the_route(spark, tmp_path):
+    from linkloom.plans import queries
+
+    names = {3: "acme shop", 6: "zebra", **{3 * i + 1: f"acme store {i}" for i in range(1, 31)}, 2: "zebras", 5: "quite other"}
+    spark.createDataFrame([(i, n, "en") for i, n in names.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    grams = {i: {f" {n} "[k : k + 3] for k in range(len(n))} for i, n in names.items()}
+    want = {(f"S1-{a}-0", f"S{b % 3 + 1}-{b}-0") for a in names if a % 3 == 0 for b in names if b % 3 and len(grams[a] & grams[b]) >= 3}
+    assert len(want) == 31 and pairs(queries.QUERIES["er_route_char_ngram"](spark, str(tmp_path))) == want
