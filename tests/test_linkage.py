@@ -333,3 +333,14 @@ def test_char_ngram_query_has_the_limits_of_the_route(spark, tmp_path):
     grams = {i: {f" {n} "[k : k + 3] for k in range(len(n))} for i, n in names.items()}
     want = {(f"S1-{a}-0", f"S{b % 3 + 1}-{b}-0") for a in names if a % 3 == 0 for b in names if b % 3 and len(grams[a] & grams[b]) >= 3}
     assert len(want) == 31 and pairs(queries.QUERIES["er_route_char_ngram"](spark, str(tmp_path))) == want
+
+
+def test_composed_queries_have_the_pairs_of_all_blockers(spark, tmp_path):
+    from linkloom.plans import queries
+
+    texts = [(3, "robert", "en"), (1, "rupert", "en"), (6, "quick heron", "en"), (2, "blue heron", "en"), (4, "grey heron", "en")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.s1_id, r.target_id): r.routes for r in queries.QUERIES["er_candidate_union"](spark, str(tmp_path)).collect()}
+    assert got == {("S1-6-0", "S3-2-0"): "rare_tokens", ("S1-6-0", "S2-4-0"): "rare_tokens", ("S1-3-0", "S2-1-0"): "phonetic"}
+    assert set(queries.COMPOSED) == set(routes.ROUTES) - {"char_ngram", "tfidf"}
+    assert queries.COMBINATIONS["all blockers"] == queries.COMPOSED and len({tuple(v) for v in queries.COMBINATIONS.values()}) == 7
