@@ -344,3 +344,24 @@ def test_composed_queries_have_the_pairs_of_all_blockers(spark, tmp_path):
     assert got == {("S1-6-0", "S3-2-0"): "rare_tokens", ("S1-6-0", "S2-4-0"): "rare_tokens", ("S1-3-0", "S2-1-0"): "phonetic"}
     assert set(queries.COMPOSED) == set(routes.ROUTES) - {"char_ngram", "tfidf"}
     assert queries.COMBINATIONS["all blockers"] == queries.COMPOSED and len({tuple(v) for v in queries.COMBINATIONS.values()}) == 7
+
+
+def test_gbt_scores_every_candidate(spark, tmp_path, monkeypatch):
+    from linkloom.plans import queries
+
+    fitted = []
+
+    class Constant:
+        def fit(self, pairs):
+            fitted.append({r.s1_id for r in pairs.select("s1_id").collect()})
+            return self
+
+        def predict_proba(self, pairs):
+            assert not fitted[-1] & {r.s1_id for r in pairs.select("s1_id").collect()}
+            return pairs.withColumn("score", F.lit(0.5))
+
+    monkeypatch.setattr(model, "baseline_matcher", Constant)
+    texts = [(i, f"same name of all\n{i} Street", "en") for i in (1, 2, *range(3, 27, 3))]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["er_gbt_scores"](spark, str(tmp_path)).collect()
+    assert len(fitted) == 2 and len(got) == 16 and {(r.s1_id, r.target_id) for r in got} == pairs(queries.QUERIES["er_candidate_union"](spark, str(tmp_path)))
