@@ -43,7 +43,7 @@ BASE = {
 CANDIDATES = {
     "phone_like": (r"(?<!\+[0-9]{1,3}[ ]?)(?<![0-9A-Za-z+@.-])\(?[0-9]{2,5}\)?(?:[ .-]{1,2}[0-9]{2,5}){1,5}+(?![0-9A-Za-z])", "[0-9][) .-]{1,2}[0-9]"),
     "id_number": (r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "-[0-9]{2}-"),
-    "secret": (r"(?i)(?<![a-z0-9])(?:[a-z]{1,20}[_-]){0,3}(?:key|secret|token|passw(?:or)?d|pwd)[\"']?[ ]?[=:][ ]?[\"']?[a-z0-9+/_.=-]{6,400}+[\"']?", "(?i)(?:key|secret|token|passw(?:or)?d|pwd)[\"']?[ ]?[=:]"),
+    "secret": (r"(?i)(?<![a-z0-9])(?:[a-z]{1,20}[_-]){0,3}(?:key|secret|token|passw(?:or)?d|pwd)[\"']?[ ]?[=:][ ]?[\"']?[a-z0-9+/_.=-]{6,}+[\"']?", "(?i)(?:key|secret|token|passw(?:or)?d|pwd)[\"']?[ ]?[=:]"),
     "email_like": (r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+[ ]?(?:\[at\]|\(at\)|(?<=[ ])at(?=[ ]))[ ]?[a-z0-9-]{1,63}+[ ]?(?:\[dot\]|\(dot\)|(?<=[ ])dot(?=[ ]))[ ]?[a-z]{2,10}(?![a-z])", r"(?i)(?:\[dot\]|\(dot\)|[ ]dot[ ])"),
 }
 KINDS = [*BASE, *CANDIDATES]
@@ -135,7 +135,7 @@ def examples(spark: SparkSession) -> DataFrame:
         (phone, 1, pick("c", "phone: ", "call ", "tel. ", "fax "), F.concat(digits("a", 3), pick("s", "-", " ", "."), digits("b", 3), pick("s", "-", " ", "."), digits("d", 4))),
         (number, 1, pick("c", "ssn ", "social security ", "ssn: ", plain), F.concat(digits("a", 3), F.lit("-"), digits("b", 2), F.lit("-"), digits("d", 4))),
         (secret, 1, plain, F.concat(name, F.lit(' = "'), cased(hexes("h", 40)), F.lit('"'))),
-        (secret, 1, plain, F.concat(name, pick("s", "=", ": ", " = "), pick("v", hexes("h", 12), hexes("h", 16), hexes("h", 32), F.concat(word("w"), digits("a", 3))))),
+        (secret, 1, plain, F.concat(name, pick("s", "=", ": ", " = "), pick("v", hexes("h", 12), hexes("h", 16), hexes("h", 32), F.repeat(hexes("h", 80), 6), F.concat(word("w"), digits("a", 3))))),
         (mail, 1, pick("c", "mail ", "contact ", "write to ", plain), F.concat(word("u"), F.lit("."), digits("a", 2), at, word("h"), dot, pick("tld", "com", "org", "net"))),
         (mail, 1, plain, F.concat(word("u"), pick("at2", " [at] ", "(at)"), word("h"), pick("dot2", " [dot] ", "(dot)"), pick("tld", "com", "org", "net"))),
         (phone, 0, plain, F.concat(pick("y", "19", "20"), digits("a", 2), pick("s", "-", ".", " "), digits("b", 2), pick("s", "-", ".", " "), digits("d", 2))),

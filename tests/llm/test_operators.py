@@ -412,3 +412,12 @@ def test_ranks_and_lookups(spark):
 def test_registry():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 11)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     json.dumps(registry.ORACLE_SQL)
+
+
+def test_pii_takes_long_secrets_whole(spark):
+    import hashlib
+
+    long = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(100))
+    texts = [f"see token={long[:n]} end" for n in (400, 401, 480, 1000, 6400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["text"] for r in op2_pii.redact(df).collect()} == {"see <SECRET> end"}
