@@ -3,7 +3,8 @@
 Vectors of a label (and dimension) are dealt over shards of about SHARD_ROWS vectors; equal vectors are
 one node with a weight.  Each shard's graph is built once and written as a table; every vector of the
 label then queries every shard, in blocks.  A block audits itself: for some of its queries all vectors
-of the shard are compared, and the beam doubles until the audit finds WANTED of the true links; a block
+of the shard are compared, and the beam doubles until the audit finds WANTED of the true links and of the
+nearest nodes, which are there where no link is; a block
 whose beam would pass MOST_BEAM compares all its pairs instead, so no case is dropped.  Candidates are
 verified by cosine in double precision.  A block gives each query's number of links, and links that join
 its connected vectors by a tree, never all pairs; their union over blocks gives the components.
@@ -32,6 +33,8 @@ SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
 #: Neighbours of a node at the lowest level and above, beam while building and first beam of a query.
 WIDE, NARROW, BUILD_BEAM, BEAM = 24, 12, 32, 16
 MOST_BEAM, WANTED, AUDITED = 256, 0.99, 48
+#: Nodes that an audited query must find whatever their cosine: itself, if it is of the shard, and another.
+NEAREST = 2
 BATCH = 256
 
 
@@ -210,16 +213,19 @@ def _all_pairs(q: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
 def find(graph: Graph, q: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """(query, node) pairs that may reach the threshold; the beam widens until the audit passes and no beam is full of hits."""
     audit = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDITED)).astype(np.int64))
-    truth = _all_pairs(q[audit], graph.x, threshold)
-    truth[:, 0] = audit[truth[:, 0]]
     n = len(graph.x)
-    todo, beam, out = np.arange(len(q)), BEAM, []
+    sims = q[audit] @ graph.x.T
+    true = sims >= threshold - 1e-4
+    np.put_along_axis(true, np.argsort(-sims, axis=1, kind="stable")[:, :NEAREST], True, axis=1)
+    truth = np.argwhere(true)
+    truth[:, 0] = audit[truth[:, 0]]
+    todo, beam, out, passed = np.arange(len(q)), BEAM, [], False
     while len(todo):
         if beam > MOST_BEAM or 4 * beam > len(graph.x):
             p = _all_pairs(q[todo], graph.x, threshold)
             out.append(np.stack([todo[p[:, 0]], p[:, 1]], 1))
             break
-        full, part = [], [np.zeros((0, 2), np.int64)]
+        full, part, seen = [], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         for i in range(0, len(todo), BATCH):
             own = todo[i : i + BATCH]
             ids, sims = graph.nearest(q[own], beam)
@@ -227,11 +233,14 @@ def find(graph: Graph, q: np.ndarray, threshold: float = THRESHOLD) -> np.ndarra
             r, c = np.nonzero(hit)
             part.append(np.stack([own[r], ids[r, c]], 1))
             full.append(own[hit[:, -1]])
+            r, c = np.nonzero(np.isin(own, audit)[:, None] & (ids >= 0))
+            seen.append(np.stack([own[r], ids[r, c]], 1))
         found = np.concatenate(part)
         again = np.concatenate(full)  # their beams hold nothing but hits, so there may be more
         want = truth[np.isin(truth[:, 0], todo) & ~np.isin(truth[:, 0], again)]
-        got = np.isin(want @ [n, 1], found @ [n, 1]).sum()
-        if got < WANTED * len(want):
+        if len(want):  # without evidence at this beam, that of a narrower one counts
+            passed = np.isin(want @ [n, 1], np.concatenate(seen) @ [n, 1]).sum() >= WANTED * len(want)
+        if not passed:
             again = todo
         out.append(found[~np.isin(found[:, 0], again)])
         todo, beam = again, 2 * beam

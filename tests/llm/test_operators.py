@@ -421,3 +421,19 @@ def test_pii_takes_long_secrets_whole(spark):
     texts = [f"see token={long[:n]} end" for n in (400, 401, 480, 1000, 6400)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r["text"] for r in op2_pii.redact(df).collect()} == {"see <SECRET> end"}
+
+
+def test_hnsw_audit_needs_evidence():
+    rng = np.random.default_rng(5)
+    x, q = (op5_hnsw.unit(rng.normal(size=(n, 32))) for n in (4000, 100))
+    q[1] = x[777]  # not among the audited queries, which have no link
+
+    class Blind:
+        def __init__(self):
+            self.x = x
+
+        def nearest(self, q, beam):
+            ids = np.tile(np.arange(beam), (len(q), 1))
+            return ids, np.take_along_axis(q @ x.T, ids, 1)
+
+    assert op5_hnsw.find(Blind(), q).tolist() == [[1, 777]]
