@@ -8,7 +8,7 @@ Truth, which is never a feature: equal country, equal first four words (lower-ca
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators.records import normalize
@@ -34,11 +34,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def of_s1() -> Column:
+    return F.col("entity_id").startswith("S1-")
+
+
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Normalised (S1, targets), of all records."""
     rows = records(spark, sf_dir)
-    of_s1 = F.col("entity_id").startswith("S1-")
-    return normalize(rows.where(of_s1), keep=["grp"]), normalize(rows.where(~of_s1), keep=["grp"])
+    return normalize(rows.where(of_s1()), keep=["grp"]), normalize(rows.where(~of_s1()), keep=["grp"])
 
 
 def truth(s1: DataFrame, targets: DataFrame) -> DataFrame:
@@ -47,8 +50,7 @@ def truth(s1: DataFrame, targets: DataFrame) -> DataFrame:
     return a.join(targets.select(F.col("entity_id").alias("target_id"), "grp", "country"), ["grp", "country"]).select("s1_id", "target_id")
 
 
-#: The same records in SQL: views r (records), s (S1), t (targets), both with normal forms, and truth.  View s still
-#: has one S1 record only for each country and group, so SQL over it gives fewer rows than sides() (README).
+#: The same records in SQL: views r (records), s (S1), t (targets), both with normal forms, and truth.
 SQL = rf"""
 l AS (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 , k AS (SELECT doc_id, lang, l, unnest(range(0, (len(l) + 1) // 2)) AS k FROM l)
@@ -62,7 +64,7 @@ l AS (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS l FROM d
 , r4 AS (SELECT *, list_transform(nt, lambda x: CASE x WHEN 'corporation' THEN 'corp' WHEN 'incorporated' THEN 'inc' WHEN 'company' THEN 'co' WHEN 'limited' THEN 'ltd' WHEN 'private' THEN 'pvt' ELSE x END) AS name_tokens
     , list_transform(adt, lambda x: CASE x WHEN 'street' THEN 'st' WHEN 'road' THEN 'rd' WHEN 'avenue' THEN 'ave' WHEN 'boulevard' THEN 'blvd' WHEN 'drive' THEN 'dr' WHEN 'lane' THEN 'ln' WHEN 'highway' THEN 'hwy' WHEN 'floor' THEN 'fl' WHEN 'suite' THEN 'ste' WHEN 'apartment' THEN 'apt' WHEN 'building' THEN 'bldg' WHEN 'north' THEN 'n' WHEN 'south' THEN 's' WHEN 'east' THEN 'e' WHEN 'west' THEN 'w' WHEN 'rue' THEN 'r' WHEN 'chemin' THEN 'chem' ELSE x END) AS address_tokens FROM r3)
 , r AS (SELECT ord, entity_id, country, grp, business_name, business_address, coalesce(array_to_string(name_tokens, ' '), '') AS name_norm, coalesce(array_to_string(address_tokens, ' '), '') AS address_norm, name_tokens, address_tokens, numeric_anchors, len(address_tokens) = 0 AS is_address_missing FROM r4)
-, s AS (SELECT * FROM r WHERE entity_id LIKE 'S1-%' QUALIFY row_number() OVER (PARTITION BY country, coalesce(grp, business_name) ORDER BY ord) = 1)
+, s AS (SELECT * FROM r WHERE entity_id LIKE 'S1-%')
 , t AS (SELECT * FROM r WHERE entity_id NOT LIKE 'S1-%')
 , truth AS (SELECT s.entity_id AS s1_id, t.entity_id AS target_id FROM s JOIN t ON s.grp = t.grp AND s.country = t.country)
 """

@@ -9,19 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only where it is unset and all is one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get()
     return f"{root.rstrip('/')}/linkloom/{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table and read back: it is computed once, its plan ends there, and lost executors lose nothing of it."""
+def staged(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """df written as a Parquet table (in folders by some columns) and read back: it is computed once, its plan ends there, and lost executors lose nothing of it."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
