@@ -1,22 +1,26 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 Fingerprints are made from hashed word shingles; equal ones are one node from there on.  The join
-walks a binary trie of fingerprints against itself, level by level: a pair of trie nodes carries the
-number of differing bits so far and is dropped when that exceeds the budget; subtrees that can't exceed
-it any more are linked whole.
+walks a binary trie of fingerprints against itself: a pair of trie nodes carries the number of
+differing bits so far and is dropped when that exceeds the budget.  A pair whose remaining bits can't
+exceed it any more is linked whole by a chain.  Links are united while the walk goes on, and a pair of
+nodes whose fingerprints are all connected by then is dropped as well, so that a dense cluster costs
+neither the time nor the memory of all its pairs.
 
 To spread the join, bits are cut into blocks.  Two fingerprints within the budget of k bits agree in
 at least m - k of m blocks, so they meet under some choice of m - k equal blocks; each choice deals the
-fingerprints by these blocks' bits, and a trie of the other bits is joined within each group.  m grows
-with the number of fingerprints, which keeps groups small.  A pair is followed only under the first
-choice that holds it.
+fingerprints by these blocks' bits, and a trie is joined within each group.  m grows with the number of
+fingerprints, which keeps groups small on average.  A group of more than GROUP_MOST is cut into pieces
+by a hash, and each two pieces are joined by a task of their own.
 
 A group gives links that join its connected members by a tree of bounded fan-out, never all pairs.
 
 Defined results: a null text and one without words have fingerprint zero, linked like any other.
 Repeated rows and exact copies share a fingerprint.  Texts of any length are hashed whole.  An empty
-table gives an empty result.  Nulls in other columns and clashing names don't matter: only the id and
-the text are read; a null id never is a component's smallest.
+table gives an empty result.  Only the id and the text are read, so nulls in other columns and clashing
+names don't matter; a null id is a component's smallest only where all its ids are null.  keep_one()
+names rows by a number of their own: of each component it keeps one row whatever its ids are, the one
+of the smallest id (null last), then of the smallest hash of its text.
 """
 
 from __future__ import annotations
@@ -27,17 +31,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components, forest, tree
-from linkloom.llm.tables import lookup, read, small_batches, stage
+from linkloom.llm.tables import lookup, numbered, read, small_batches, stage
 
 WORDS, SEED, BUDGET = 4, 42, 4
 #: Fingerprints that a group of the join should have at most on average, were bits independent.
 GROUP_ROWS = 256
-#: Node pairs of the trie walk held at once; more are walked in parts.
-PAIRS = 1 << 20
+#: A group of more is joined in pieces of about half as many, two by two.
+GROUP_MOST = 1 << 17
+#: Hot groups up to so many (16 bytes each) are broadcast; beyond, their table is joined by a shuffle.
+MOST_BROADCAST = 100_000
+#: Node pairs of the trie walk that are followed at once; more are walked in parts, and small groups together.
+PAIRS, TOGETHER = 1 << 16, 1 << 15
 
 
 def fingerprint(text: str | None) -> int:
@@ -61,12 +69,6 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(x.as_py()) for x in texts], np.uint64).view(np.int64))
 
 
-def with_fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fp): fp is the fingerprint's 64 bits as a long."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(key).alias("key"), F.arrow_udf(_fingerprints, "long").asNondeterministic()(text).alias("fp"))
-
-
 def blocks(m: int) -> list[tuple[int, int]]:
     """Cuts 64 bits into m blocks: (shift, width) from the lowest."""
     edges = [64 * i // m for i in range(m + 1)]
@@ -85,131 +87,189 @@ def choices(m: int, budget: int = BUDGET) -> list[tuple[int, ...]]:
     return list(combinations(range(m), m - budget))
 
 
-def linked(fps: np.ndarray, budget: int = BUDGET, skip: np.ndarray | None = None, wanted=None) -> np.ndarray:
-    """Pairs of indices of fps (sorted, distinct uint64) within the budget, by walking the trie against itself.
+class _Walk:
+    """The trie self-join of groups that lie one after the other in fps, each sorted and distinct."""
 
-    wanted(i, j) may reject pairs.  Subtrees that lie within the budget as a whole give only a tree of
-    links if wanted is None.
-    """
-    out: list[np.ndarray] = []
-    n = len(fps)
-    if n < 2:
-        return np.zeros((0, 2), np.int64)
-    one = np.uint64(1)
+    def __init__(self, fps: np.ndarray, budget: int) -> None:
+        self.fps, self.budget = fps, budget
+        self.label = np.arange(len(fps))  # the smallest member so far connected with each
+        self.ones: dict[int, np.ndarray] = {}
+        self.turns: np.ndarray | None = None
 
-    def halves(lo, hi, bit):
+    def middle(self, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
         """Where the ones of a bit begin in each range; all earlier bits are equal in it."""
-        prefix = (fps[lo] >> np.uint64(bit)) | one
-        return np.clip(np.searchsorted(fps, prefix << np.uint64(bit)), lo, hi)
-
-    #: A stack of (bit, rows of: first range, second range, differing bits); a range pair with itself is one entry.
-    stack = [(63, np.array([[0, n, 0, n, 0]], np.int64))]
-    while stack:
-        bit, node = stack.pop()
-        if len(node) > PAIRS:
-            stack += [(bit, part) for part in np.array_split(node, 2)]
-            continue
-        single = (node[:, 1] - node[:, 0] == 1) & (node[:, 3] - node[:, 2] == 1)
-        if single.any():
-            i, j, d = node[single, 0], node[single, 2], node[single, 4]
-            far = i != j
-            i, j, d = i[far], j[far], d[far]
-            rest = fps[i] ^ fps[j]
-            if bit < 63:
-                rest = rest & np.uint64((1 << (bit + 1)) - 1)
-            ok = d + np.bitwise_count(rest).astype(np.int64) <= budget
-            out.append(np.stack([i[ok], j[ok]], 1))
-            node = node[~single]
-        if bit < 0 or not len(node):
-            continue
-        a, b, c, e, d = node.T
-        am, cm = halves(a, b, bit), halves(c, e, bit)
-        same = a == c
-        parts = [
-            np.stack([a, am, c, cm, d], 1),
-            np.stack([am, b, cm, e, d], 1),
-            np.stack([a, am, cm, e, d + 1], 1),
-            np.stack([am, b, c, cm, d + 1], 1)[~same],
-        ]
-        nxt = np.concatenate(parts)
-        nxt = nxt[(nxt[:, 0] < nxt[:, 1]) & (nxt[:, 2] < nxt[:, 3]) & (nxt[:, 4] <= budget)]
-        nxt = nxt[~((nxt[:, 0] == nxt[:, 2]) & (nxt[:, 1] - nxt[:, 0] == 1))]
-        if len(nxt):
-            stack.append((bit - 1, nxt))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
-def _group_links(m: int, budget: int):
-    cut, sets = blocks(m), choices(m, budget)
-    widths = [np.uint64(((1 << w) - 1) << s) for s, w in cut]
-
-    def of_group(choice: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fps = np.sort(fps.view(np.uint64))
-        pairs = linked(fps, budget)
-        if choice and len(pairs):  # leave out what an earlier choice has found
-            x = fps[pairs[:, 0]] ^ fps[pairs[:, 1]]
-            equal = [(x & w) == 0 for w in widths]
-            new = np.ones(len(x), bool)
-            for s in sets[:choice]:
-                new &= ~np.logical_and.reduce([equal[i] for i in s])
-            pairs = pairs[new]
-        child, parent = tree(fps.view(np.int64), forest(len(fps), pairs))
-        return child, parent
+        if bit not in self.ones:
+            self.ones[bit] = np.concatenate([[0], np.cumsum((self.fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)])
+        c = self.ones[bit]
+        return hi - (c[hi] - c[lo])
+
+    def unite(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = self.label[i], self.label[j]
+        new = a != b
+        if not new.any():
+            return
+        roots, place = np.unique(np.concatenate([a[new], b[new]]), return_inverse=True)
+        to = np.arange(len(self.label))
+        to[roots] = roots[forest(len(roots), place.reshape(2, -1).T)]
+        self.label, self.turns = to[self.label], None
+
+    def connected(self, node: np.ndarray) -> np.ndarray:
+        """Which node pairs hold nothing but connected members."""
+        if self.turns is None:  # how often the label has changed up to each place
+            self.turns = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])])
+        a, b, c, e, _ = node.T
+        return (self.turns[a] == self.turns[b - 1]) & (self.turns[c] == self.turns[e - 1]) & (self.label[a] == self.label[c])
+
+    def link_whole(self, node: np.ndarray) -> None:
+        """Chains through both ranges of each pair, and a link between them."""
+        steps = np.zeros(len(self.fps) + 1, np.int64)
+        for lo, hi in ((0, 1), (2, 3)):
+            np.add.at(steps, node[:, lo], 1)
+            np.add.at(steps, node[:, hi] - 1, -1)
+        i = np.flatnonzero(np.cumsum(steps) > 0)
+        self.unite(np.concatenate([i, node[:, 0]]), np.concatenate([i + 1, node[:, 2]]))
+
+    def run(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The label of each fingerprint once all groups are joined."""
+        zero = np.zeros(len(starts), np.int64)
+        #: A stack of (bit, rows of: first range, second range, differing bits); a range with itself is one entry.
+        stack = [(63, np.stack([starts, ends, starts, ends, zero], 1))]
+        while stack:
+            bit, node = stack.pop()
+            if len(node) > PAIRS:  # those that differ least come first: they connect most
+                node = node[np.argsort(-node[:, 4], kind="stable")]
+                stack += [(bit, part) for part in np.array_split(node, 1 + len(node) // PAIRS)]
+                continue
+            node = node[~self.connected(node)]
+            single = (node[:, 1] - node[:, 0] == 1) & (node[:, 3] - node[:, 2] == 1)
+            if single.any():
+                i, j, d = node[single, 0], node[single, 2], node[single, 4]
+                rest = self.fps[i] ^ self.fps[j]
+                if bit < 63:
+                    rest = rest & np.uint64((1 << (bit + 1)) - 1)
+                near = d + np.bitwise_count(rest).astype(np.int64) <= self.budget
+                self.unite(i[near], j[near])
+                node = node[~single]
+            whole = node[:, 4] + bit + 1 <= self.budget
+            if whole.any():
+                self.link_whole(node[whole])
+                node = node[~whole]
+            if not len(node):
+                continue
+            a, b, c, e, d = node.T
+            am, cm = self.middle(a, b, bit), self.middle(c, e, bit)
+            own = a == c
+            parts = [np.stack([a, am, cm, e, d + 1], 1), np.stack([am, b, c, cm, d + 1], 1)[~own], np.stack([a, am, c, cm, d], 1), np.stack([am, b, cm, e, d], 1)]
+            nxt = np.concatenate(parts)
+            nxt = nxt[(nxt[:, 0] < nxt[:, 1]) & (nxt[:, 2] < nxt[:, 3]) & (nxt[:, 4] <= self.budget)]
+            nxt = nxt[~((nxt[:, 0] == nxt[:, 2]) & (nxt[:, 1] - nxt[:, 0] == 1))]
+            if len(nxt):
+                stack.append((bit - 1, nxt))
+        return self.label
+
+
+def linked(fps: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+    """For each of fps (sorted, distinct uint64) the smallest index connected with it by links within the budget."""
+    return _Walk(fps, budget).run(np.zeros(1, np.int64), np.full(1, len(fps))) if len(fps) else np.zeros(0, np.int64)
+
+
+def _group_links(budget: int):
+    """Links from rows (choice, bits, low, high, fp), sorted by the first four, which make a group."""
+
+    def close(held: list[np.ndarray]) -> pa.RecordBatch:
+        groups = [np.sort(g) for g in held]
+        ends = np.cumsum([len(g) for g in groups])
+        fps = np.concatenate(groups)
+        label = _Walk(fps, budget).run(np.r_[0, ends[:-1]].astype(np.int64), ends.astype(np.int64))
+        child, parent = tree(fps.view(np.int64), label)
+        return pa.RecordBatch.from_arrays([pa.array(child), pa.array(parent)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        now = None
-
-        def close() -> pa.RecordBatch:
-            child, parent = of_group(now[0], np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(child), pa.array(parent)], names=["a", "b"])
-
-        for batch in batches:  # sorted by choice and bits, so that groups follow each other
-            choice, bits, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(fps):
+        held: list[np.ndarray] = []  # whole groups
+        now, parts, rows = None, [], 0
+
+        def finish() -> None:
+            nonlocal parts, rows
+            if sum(map(len, parts)) > 1:
+                held.append(np.concatenate(parts))
+                rows += len(held[-1])
+            parts = []
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            starts = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])])
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], 1)
+            fps = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
             for lo, hi in zip(starts, [*starts[1:], len(fps)], strict=True):
-                key = (int(choice[lo]), int(bits[lo]))
-                if now is not None and key != now:
-                    if sum(map(len, held)) > 1:
-                        yield close()
-                    held = []
+                key = tuple(keys[lo].tolist())
+                if key != now:
+                    finish()
+                    if rows > TOGETHER:
+                        yield close(held)
+                        held, rows = [], 0
                 now = key
-                held.append(fps[lo:hi])
-        if sum(map(len, held)) > 1:
-            yield close()
+                parts.append(fps[lo:hi])
+        finish()
+        if held:
+            yield close(held)
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, rows: int, budget: int = BUDGET) -> DataFrame:
+def fingerprint_links(fps: DataFrame, rows: int, budget: int = BUDGET, most: int = GROUP_MOST) -> DataFrame:
     """Links (a, b) that connect fingerprints within the budget; fps: a staged table of distinct longs `fp`."""
     m = block_count(rows, budget)
     cut = blocks(m)
     one = lambda i: F.shiftrightunsigned("fp", cut[i][0]).bitwiseAND(F.lit((1 << cut[i][1]) - 1))
     bits = [F.array(*(one(i) for i in c)) for c in choices(m, budget)]
     dealt = fps.select("fp", F.posexplode(F.array(*(F.xxhash64(b) for b in bits))).alias("choice", "bits"))
-    dealt = dealt.repartition("choice", "bits").sortWithinPartitions("choice", "bits")
-    return dealt.select("choice", "bits", "fp").mapInArrow(_group_links(m, budget), "a long, b long")
+    hot = stage(dealt.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "hot-groups")
+    n_hot = hot.count()
+    zero = F.lit(0).cast("long")
+    if not n_hot:
+        groups = dealt.select(F.col("choice").cast("long"), "bits", zero.alias("low"), zero.alias("high"), "fp")
+    else:
+        dealt = dealt.join(F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot, ["choice", "bits"], "left")
+        pieces = F.ceil(F.col("n") * 2 / most).cast("long")  # three at least
+        own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("pieces"))
+        others = F.filter(F.sequence(zero, F.col("pieces") - 1), lambda q: q != F.col("piece"))
+        spread = dealt.withColumn("pieces", pieces).withColumn("piece", own)
+        spread = spread.withColumn("other", F.explode(F.when(F.col("n").isNull(), F.array(zero)).otherwise(others)))
+        piece = F.coalesce("piece", zero)
+        groups = spread.select(F.col("choice").cast("long"), "bits", F.least(piece, "other").alias("low"), F.greatest(piece, "other").alias("high"), "fp")
+    key = ["choice", "bits", "low", "high"]
+    return groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(_group_links(budget), "a long, b long")
+
+
+def _components(docs: DataFrame, *least: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs with fp, classes): docs has text; classes has fp and the smallest struct of `least` in its component."""
+    small_batches(docs.sparkSession)
+    rows = stage(docs.withColumn("fp", F.arrow_udf(_fingerprints, "long").asNondeterministic()("text")).withColumn("mine", F.struct(*least)).drop("text"), "fingerprints")
+    nodes = stage(rows.groupBy("fp").agg(F.min("mine").alias("least")), "nodes")
+    links = stage(fingerprint_links(nodes.select("fp"), nodes.count()), "links")
+    joined = components(links)
+    of = stage(nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c")), "of")
+    return rows, of
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp (long), component_id (the smallest key reachable over links of fingerprints) of every row."""
-    rows = stage(with_fingerprints(docs, key, text), "fingerprints")
-    nodes = stage(rows.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    links = stage(fingerprint_links(nodes.select("fp"), nodes.count(), budget), "links")
-    joined = components(links)
-    of = stage(nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c")), "of")
-    least = of.groupBy("c").agg(F.min("least").alias("component_id"))
+    k = F.col("key")
+    rows, of = _components(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), k.isNull().alias("none"), k.alias("key"))
+    least = of.groupBy("c").agg(F.min("least")["key"].alias("component_id"))
     classes = stage(lookup(of, stage(least, "least"), "c").select("fp", "component_id"), "classes")
-    return lookup(rows, classes, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return lookup(rows, classes, "fp").select(k.alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: the one of its smallest key.  Rows without a key can't be named and all stay."""
-    kept = near_duplicates(docs.where(F.col(key).isNotNull()), key, text).where(F.col(key) == F.col("component_id")).select(key)
-    return docs.join(kept, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    """One row of each component, with the columns of docs."""
+    own = numbered(docs, "documents")
+    k = F.col("key")
+    asked = own.select("row", F.col("d")[key].alias("key"), F.col("d")[text].alias("text")).withColumn("h", F.xxhash64("text"))
+    _, of = _components(asked, k.isNull().alias("none"), k.alias("key"), F.col("h"), F.col("row"))
+    kept = stage(of.groupBy("c").agg(F.min("least")["row"].alias("row")).select("row"), "kept")
+    return own.join(kept, "row", "left_semi").select("d.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,16 @@ order.  Its virtual finish time is the number of source tokens up to and with it
 the source.  All entries are sorted by that time and the queue is cut where their tokens reach the
 total budget, so each source comes within a document of its target.
 
-The sort is by ranges: fixed ranges of virtual time are summed first, the range in which the budget
-ends follows from those sums, and only that range has to be ordered row by row: what lies before it is
-taken whole, what lies behind it not at all.  Running sums within a source
-use buckets of the shuffle key in the same way, so that no task holds a source.
+The sort is a range partitioning by time: the sums of whole ranges tell in which of them the budget
+ends, running sums inside that one where, and the queue is truncated there.  Ranges follow from a
+sample of the times, so none is large.  Running sums within a source use buckets of the shuffle key, so
+that no task holds a source.
 
 Defined results: a null text has size 0; the null source is a source, ordered last.  Documents of size
-0 take nothing.  Ties go by source rank, shuffle key and id; repeated rows count each as a document.
-An empty table gives an empty result.  Other input columns don't matter to the query; mixed() keeps all.
+0 take nothing.  Ties go by source rank, shuffle key, id (null first), size and hash of the text;
+repeated rows, and rows of one id or none, count each as a document, in mixed() too, which names rows by
+a number of their own.  An empty table gives an empty result.  Texts of any length are counted whole.
+Other input columns may have any name; mixed() keeps all.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from linkloom.llm.tables import WORD, read, stage
+from linkloom.llm.tables import WORD, numbered, read, stage, summed
 
 WEIGHTS, REPEATS, SEED = (1, 2, 3), 3, 17
-#: Buckets of a source's shuffle key and ranges of a unit of virtual time: at 10^10 rows about 10^7 and 10^6 rows each.
-BUCKETS, RANGES = 1024, 4096
+#: Buckets of a source's shuffle key: at 10^10 rows about 10^7 rows each.
+BUCKETS = 1024
 #: Up to so many sources their table (about 50 bytes each) is broadcast; beyond, it is joined by a shuffle.
 MOST_BROADCAST = 10_000
 
@@ -35,74 +37,76 @@ def sizes(docs: DataFrame, text: str = "text") -> Column:
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """by_source (source, source_size) with rank, weight and target.
+    """by_source (source, source_size; staged) with rank, target and budget.
 
     Targets share the whole size by weight; one that exceeds `repeats` times its source's size stops
     there and its excess is shared anew.  With sources ordered by cap over weight the ones that stop
-    are a prefix: those whose cap over weight is at most the share left for a unit of weight.
+    are a prefix: those whose cap over weight is at most the share left for a unit of weight.  Sources
+    may be many: both orders are range sorts with running sums.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    t = by_source.withColumn("rank", F.row_number().over(order).cast("long"))
+    total = by_source.agg(F.count(F.lit(1)).alias("n"), F.sum("source_size").alias("size")).first()
+    n, size = total["n"], total["size"] or 0
+    t = summed(by_source, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")}, "by-source", n)
     t = t.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")).cast("long"))
-    t = t.withColumn("cap", F.col("source_size") * repeats)
-    by_ratio = W.orderBy((F.col("cap") / F.col("weight")), "rank")
-    before, everything = by_ratio.rowsBetween(W.unboundedPreceding, -1), by_ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    t = t.withColumns({"cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0)), "weight_before": F.coalesce(F.sum("weight").over(before), F.lit(0)), "all_size": F.sum("source_size").over(everything), "all_weight": F.sum("weight").over(everything)})
-    left, weight_left = F.col("all_size") - F.col("cap_before"), F.col("all_weight") - F.col("weight_before")
-    t = t.withColumn("full", F.col("cap") * weight_left <= left * F.col("weight"))
-    t = t.withColumns({"left": F.max(F.when(~F.col("full"), left)).over(everything), "weight_left": F.max(F.when(~F.col("full"), weight_left)).over(everything)})
-    return t.select("source", "source_size", "rank", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("left") * F.col("weight") / F.col("weight_left")).alias("target"), F.col("all_size").alias("budget"))
-
-
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """docs' rows as key, size, source_size, target, taken (words) and copies (how often the mix has the row)."""
-    shuffled = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(SEED)))), 1, 15), 16, 10).cast("long")
-    base = stage(docs.select(F.col(key).alias("k"), F.col(source).alias("source"), sizes(docs, text).alias("size"), shuffled.alias("h")), "sizes")
+    t = t.withColumn("cap", F.col("source_size") * repeats).withColumn("ratio", F.col("cap") / F.col("weight"))
+    t = stage(summed(t, [F.col("ratio"), F.col("rank")], {"caps": F.col("cap"), "weights": F.col("weight")}, "by-ratio", n), "shares")
+    all_weight = t.agg(F.sum("weight")).first()[0]
+    t = t.withColumns({"left": F.lit(size) - F.col("caps") + F.col("cap"), "weight_left": F.lit(all_weight) - F.col("weights") + F.col("weight")})
+    t = t.withColumn("full", F.col("cap") * F.col("weight_left") <= F.col("left") * F.col("weight"))
+    rest = t.where(~F.col("full")).agg(F.max("left").alias("left"), F.max("weight_left").alias("weight")).first()
+    share = F.lit(None).cast("double") if rest["left"] is None else F.lit(int(rest["left"])) * F.col("weight") / F.lit(int(rest["weight"]))
+    return t.select("source", "source_size", "rank", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"), F.lit(size).cast("long").alias("budget"))
+
+
+def _mix(rows: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
+    """rows (row, k, source, text) as row, k, size, source_size, target and copies (how often the mix has the row)."""
+    shuffled = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("k").cast("string"), F.lit(str(SEED)))), 1, 15), 16, 10).cast("long")
+    base = stage(rows.select("row", "k", "source", sizes(rows).alias("size"), shuffled.alias("h"), F.xxhash64("text").alias("t")), "sizes")
     bucket = F.shiftright("h", 60 - (BUCKETS.bit_length() - 1))
-    sums = stage(base.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("n")), "buckets")
-    plan = stage(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, repeats), "targets").withColumnRenamed("source", "s")
-    if plan.count() <= MOST_BROADCAST:
+    sums = stage(base.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")), "buckets")
+    plan = stage(targets(stage(sums.groupBy("source").agg(F.sum("n").alias("source_size")), "sources"), weights, repeats), "targets").withColumnRenamed("source", "s")
+    whole = plan.agg(F.count(F.lit(1)).alias("n"), F.max("budget").alias("budget")).first()
+    if whole["n"] <= MOST_BROADCAST:
         plan = F.broadcast(plan)
-    planned = lambda df: df.join(plan, F.col("source").eqNullSafe(F.col("s")), "inner").drop("s", "source")
+    planned = lambda df: df.join(plan, F.col("source").eqNullSafe(F.col("s")), "inner").drop("s", "source", "budget")
 
     earlier = W.partitionBy("rank").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     firsts = planned(sums).select("rank", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     # A source's rows lie evenly in its BUCKETS, so neither this join nor the window has a hot key.
-    inside = W.partitionBy("rank", "b").orderBy("h", "k", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("rank", "b").orderBy("h", "k", "size", "t", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = planned(base).withColumn("b", bucket).join(firsts, ["rank", "b"], "inner")
-    placed = stage(placed.withColumn("upto", F.col("first") + F.sum("size").over(inside)).drop("first", "b", "h"), "placed")
+    placed = stage(placed.withColumn("upto", F.col("first") + F.sum("size").over(inside)).drop("first", "b", "h", "t"), "placed")
 
+    # upto ascends within a source where documents have a size, so this order has no ties.
+    order = ["time", "rank", "again", "upto"]
     time = lambda n: (F.col("upto") + F.col("source_size") * n) / F.when(F.col("target") > 0, F.col("target"))
-    # The budget ends soon after time 1; all from time 2 on is one range.
-    span = lambda t: F.least(F.floor(t * RANGES), F.lit(2 * RANGES)).cast("long")
-    entries = placed.where("size > 0").withColumn("again", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("time", time(F.col("again"))).withColumn("span", span(F.col("time")))
-    spans = entries.groupBy("span").agg(F.sum("size").alias("n"), F.max("budget").alias("budget"))
-    over = spans.withColumn("upto", F.sum("n").over(W.orderBy("span"))).where("upto > budget")
-    edge = over.agg(F.min("span").alias("span"), F.min_by(F.col("budget") - F.col("upto") + F.col("n"), "span").alias("room")).first()
-    cut = None
-    if edge["span"] is not None:
-        order = W.orderBy("time", "rank", "again", "upto").rowsBetween(W.unboundedPreceding, W.currentRow)
-        fits = entries.where(F.col("span") == edge["span"]).withColumn("run", F.sum("size").over(order)).where(F.col("run") <= edge["room"])
-        cut = fits.agg(F.max(F.struct("time", "rank", "again", "upto")).alias("c")).first()["c"]
+    entries = placed.where("size > 0").withColumn("again", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).select(time(F.col("again")).alias("time"), "rank", "again", "upto", "size")
+    docs = sums.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    queue = summed(entries, [F.col(c) for c in order], {"run": F.col("size")}, "queue", repeats * docs)
+    cut = queue.where(F.col("run") <= (whole["budget"] or 0)).agg(F.max(F.struct(*order)).alias("c")).first()["c"]
 
     def has(n: int) -> Column:
-        if edge["span"] is None:
-            return F.lit(1)
-        at_edge = F.lit(0)
-        if cut is not None:
-            mine = F.struct(time(n).alias("time"), "rank", F.lit(n).alias("again"), "upto")
-            at_edge = (mine <= F.struct(F.lit(cut["time"]).alias("time"), F.lit(cut["rank"]).cast("long").alias("rank"), F.lit(cut["again"]).alias("again"), F.lit(cut["upto"]).cast("long").alias("upto"))).cast("int")
-        return F.when(span(time(n)) < edge["span"], 1).when(span(time(n)) > edge["span"], 0).otherwise(at_edge)
+        if cut is None:
+            return F.lit(0)
+        last = F.struct(F.lit(cut["time"]).alias("time"), F.lit(cut["rank"]).cast("long").alias("rank"), F.lit(cut["again"]).alias("again"), F.lit(cut["upto"]).cast("long").alias("upto"))
+        return (F.struct(time(n).alias("time"), F.col("rank").cast("long"), F.lit(n).alias("again"), F.col("upto").cast("long")) <= last).cast("int")
 
     copies = F.when(F.col("size") > 0, sum((has(n) for n in range(repeats)), F.lit(0))).otherwise(0)
-    return placed.select(F.col("k").alias(key), "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return placed.select("row", "k", "size", "source_size", "target", copies.cast("int").alias("copies"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """docs' rows as key, size, source_size, target, taken (words) and copies (how often the mix has the row)."""
+    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(key).alias("k"), F.col(source).alias("source"), F.col(text).alias("text"))
+    return _mix(rows, weights, repeats).select(F.col("k").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """docs with each row as often as the mix takes it; key must be unique in docs."""
-    plan = mix(docs, key, source, text, weights, repeats).select(F.col(key).alias("__k"), F.col("copies").alias("__copies")).where("__copies > 0")
-    joined = docs.join(plan, F.col(key).eqNullSafe(F.col("__k")), "inner").drop("__k")
-    return joined.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
+    """docs with each row as often as the mix takes it."""
+    own = numbered(docs, "documents")
+    rows = own.select("row", F.col("d")[key].alias("k"), F.col("d")[source].alias("source"), F.col("d")[text].alias("text"))
+    plan = _mix(rows, weights, repeats).where("copies > 0").select("row", "copies")
+    return own.join(plan, "row").select("d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("d.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

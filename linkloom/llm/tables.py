@@ -27,12 +27,14 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset and all is one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else ""
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-"))
         root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{root.rstrip('/')}/linkloom/{spark.sparkContext.applicationId}"
@@ -48,6 +50,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """A staged table of (row, d): a number of its own for each row, and the row's columns, which can't clash with ours.
+
+    Numbers are fixed by the written table, so a lost executor can't change them; they name a row where ids
+    are null or repeat.
+    """
+    return stage(df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("d")), name)
+
+
+def summed(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str, rows: int, part_rows: int = 1_000_000) -> DataFrame:
+    """df, staged in the order of a global range sort, with a running sum (from the first row to this one) for each of `sums`.
+
+    The rows are range-partitioned by `order`, so that a partition holds about part_rows of them however
+    they are distributed; sums of whole partitions (a row each) go before the sums inside.
+    """
+    parts, part = max(1, -(-rows // part_rows)), f"__{name}_part"
+    laid = stage(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), name)
+    inside = W.partitionBy(part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    if parts == 1:
+        return laid.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).drop(part)
+    earlier = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    whole = laid.groupBy(part).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    firsts = whole.select(part, *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__{n}_first") for n in sums))
+    out = laid.join(F.broadcast(firsts), part).withColumns({n: F.col(f"__{n}_first") + F.sum(c).over(inside) for n, c in sums.items()})
+    return out.drop(part, *(f"__{n}_first" for n in sums))
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Removes the tables that this application staged; call it when their results have been written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))

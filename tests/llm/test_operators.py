@@ -371,26 +371,77 @@ def test_simhash(spark, docs, real):
     assert len({r["doc_id"] for r in kept}) == len(kept) and {r["doc_id"] for r in kept} >= {0, 3, 4} and not {1, 2, 5, 6} & {r["doc_id"] for r in kept}
 
 
-@pytest.mark.parametrize("m", [5, 6, 7])
-def test_trie_join_with_more_blocks(spark, m, monkeypatch):
+def test_rows_of_one_id_or_none_are_rows(spark):
+    words = [" ".join(f"{chr(97 + i)}{j * j + i}" for j in range(60)) for i in range(8)]
+    table = [(7, words[0]), (7, words[1]), (None, words[2]), (None, words[3]), (None, words[3]), (9, words[4]), (None, words[4]), (9, words[4]), (None, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "row", 1) for i, t in table], "doc_id long, text string, source string, `d` int")
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in rows(op10_simhash.keep_one(df))))) == sorted(map(repr, [(7, words[0]), (7, words[1]), (None, words[2]), (None, words[3]), (9, words[4]), (3, "")]))
+    assert op10_simhash.keep_one(df).columns == df.columns and op10_simhash.keep_one(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(None, words[i % 8], "a", i) for i in range(20)] + [(5, words[i % 8], "b", i) for i in range(20)], "doc_id long, text string, source string, row int")
+    got = rows(op4_mixing.mixed(same, weights=(1,)))
+    assert Counter((r["doc_id"], r["row"]) for r in got) == Counter({(k, i): 1 for k in (None, 5) for i in range(20)})
+    assert op4_mixing.mixed(same).columns == same.columns and op4_mixing.mixed(same.limit(0)).count() == 0
+
+
+def test_queue_over_many_ranges(spark, real, monkeypatch):
+    from linkloom.llm import tables
+
+    whole = sorted(map(str, rows(op4_mixing.mix(real))))
+    monkeypatch.setattr(op4_mixing, "summed", lambda *a: tables.summed(*a, part_rows=40 if a[3] == "queue" else 2))
+    assert sorted(map(str, rows(op4_mixing.mix(real)))) == whole
+
+
+@pytest.mark.parametrize(("m", "most"), [(5, 1 << 17), (6, 1 << 17), (7, 1 << 17), (5, 4)])
+def test_trie_join_with_more_blocks(spark, m, most, monkeypatch):
     rng = np.random.default_rng(m)
     base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
     flips = [np.bitwise_xor.reduce([np.uint64(1) << np.uint64(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)]) for _ in range(300)]
-    fps = np.unique(np.concatenate([base, base[rng.integers(0, 60, 300)] ^ np.array(flips, np.uint64)]))
+    fps = np.unique(np.concatenate([base, base[rng.integers(0, 60 if most > 4 else 3, 300)] ^ np.array(flips, np.uint64)]))
     monkeypatch.setattr(op10_simhash, "block_count", lambda *a: m)
     table = stage(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), "fps")
-    got = {r["node"]: r["component"] for r in rows(components.components(op10_simhash.fingerprint_links(table, len(fps))))}
+    got = {r["node"]: r["component"] for r in rows(components.components(op10_simhash.fingerprint_links(table, len(fps), most=most)))}
     want = plain_components({int(x): int(x) % 2**64 for x in fps.view(np.int64)})
     assert all(got.get(k, k) == v for k, v in want.items())
 
 
-def test_trie_pairs_are_all_pairs():
+def _cluster(rng, n, most):
+    """Distinct fingerprints with up to `most` bits of one base flipped."""
+    out = np.full(n, rng.integers(0, 1 << 62), np.uint64)
+    for i in range(n):
+        out[i] ^= np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, rng.integers(0, most + 1), replace=False).astype(np.uint64), initial=np.uint64(0))
+    return np.unique(out)
+
+
+def test_trie_joins_what_all_pairs_join():
     rng = np.random.default_rng(0)
-    for n, bits in ((40, 6), (300, 12), (500, 60)):
-        f = np.unique(rng.integers(0, 1 << bits, n).astype(np.uint64))
-        want = {(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if bin(int(f[i] ^ f[j])).count("1") <= 4}
-        got = [tuple(sorted(p)) for p in op10_simhash.linked(f).tolist()]
-        assert len(got) == len(set(got)) and set(got) == want
+    sets = [np.unique(rng.integers(0, 1 << bits, n).astype(np.uint64)) for n, bits in ((1, 5), (40, 6), (300, 12), (500, 60), (800, 20))]
+    sets += [_cluster(rng, 700, 6), _cluster(rng, 700, 10)]
+    for f in sets:
+        near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 4
+        label = np.arange(len(f))
+        while True:
+            low = np.where(near, label[None, :], len(f)).min(1)
+            if (low == label).all():
+                break
+            label = low
+        assert (op10_simhash.linked(f) == label).all()
+    groups = np.concatenate(sets)
+    ends = np.cumsum([len(f) for f in sets])
+    every = op10_simhash._Walk(groups, 4).run(np.r_[0, ends[:-1]], ends)
+    assert (every == np.concatenate([op10_simhash.linked(f) + e - len(f) for f, e in zip(sets, ends, strict=True)])).all()
+
+
+def test_trie_of_a_large_cluster_stays_small():
+    import tracemalloc
+
+    fps = _cluster(np.random.default_rng(1), 82_000, 7)
+    assert len(fps) > 50_000
+    tracemalloc.start()
+    label = op10_simhash.linked(fps)
+    assert (label == 0).sum() > 45_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
 
 
 def test_components_of_chains_and_stars(spark):
