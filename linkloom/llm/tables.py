@@ -63,13 +63,12 @@ def summed(df: DataFrame, order: list[Column], sums: dict[str, Column], name: st
     """df, staged in the order of a global range sort, with a running sum (from the first row to this one) for each of `sums`.
 
     The rows are range-partitioned by `order`, so that a partition holds about part_rows of them however
-    they are distributed; sums of whole partitions (a row each) go before the sums inside.
+    they are distributed, and for each the table tells which one it was laid in, for Spark may have made
+    more or fewer.  Sums of whole partitions (a row each) go before the sums inside.
     """
     parts, part = max(1, -(-rows // part_rows)), f"__{name}_part"
     laid = stage(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), name)
     inside = W.partitionBy(part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    if parts == 1:
-        return laid.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).drop(part)
     earlier = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     whole = laid.groupBy(part).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
     firsts = whole.select(part, *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__{n}_first") for n in sums))
