@@ -49,6 +49,18 @@ def forest(n: int, pairs: np.ndarray) -> np.ndarray:
     return label
 
 
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label (of each node the smallest one it is joined with) once the pairs (i, j) are joined too."""
+    a, b = label[i], label[j]
+    new = a != b
+    if not new.any():
+        return label
+    roots, place = np.unique(np.concatenate([a[new], b[new]]), return_inverse=True)
+    to = np.arange(len(label))
+    to[roots] = roots[forest(len(roots), place.reshape(2, -1).T)]
+    return to[label]
+
+
 def tree(values: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (child, parent) that join the values of each label by a tree with FAN_OUT children a node."""
     order = np.lexsort((values, label))

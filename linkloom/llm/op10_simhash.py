@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.components import components, forest, tree
+from linkloom.llm.components import components, tree, unite
 from linkloom.llm.tables import lookup, numbered, read, small_batches, stage
 
 WORDS, SEED, BUDGET = 4, 42, 4
@@ -104,14 +104,9 @@ class _Walk:
         return hi - (c[hi] - c[lo])
 
     def unite(self, i: np.ndarray, j: np.ndarray) -> None:
-        a, b = self.label[i], self.label[j]
-        new = a != b
-        if not new.any():
-            return
-        roots, place = np.unique(np.concatenate([a[new], b[new]]), return_inverse=True)
-        to = np.arange(len(self.label))
-        to[roots] = roots[forest(len(roots), place.reshape(2, -1).T)]
-        self.label, self.turns = to[self.label], None
+        before, self.label = self.label, unite(self.label, i, j)
+        if self.label is not before:
+            self.turns = None
 
     def connected(self, node: np.ndarray) -> np.ndarray:
         """Which node pairs hold nothing but connected members."""

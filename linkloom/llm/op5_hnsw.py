@@ -1,18 +1,27 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Vectors of a label (and dimension) are dealt over shards of about SHARD_ROWS vectors; equal vectors are
-one node with a weight.  Each shard's graph is built once and written as a table; every vector of the
-label then queries every shard, in blocks.  A block audits itself: for some of its queries all vectors
-of the shard are compared, and the beam doubles until the audit finds WANTED of the true links and of the
-nearest nodes, which are there where no link is; a block
-whose beam would pass MOST_BEAM compares all its pairs instead, so no case is dropped.  Candidates are
-verified by cosine in double precision.  A block gives each query's number of links, and links that join
-its connected vectors by a tree, never all pairs; their union over blocks gives the components.
+one node with a weight.  Each shard's graph is built once and written as a table.  Every vector of the
+label then queries every shard: a graph meets BLOCK_ROWS queries in a task, which stream through it, so
+that graphs weigh little beside the queries.
+
+A search must pass two audits, and its beam doubles until it does.  Probes are nodes of the graph moved
+to a cosine of just the threshold, where links are hardest to find: the search has to find WANTED of
+them.  Then, of the queries that come together, some are compared with all nodes until AUDIT_LINKS true
+links are seen (or an eighth of these queries is compared): the search has to find WANTED of those links
+too.  Queries whose beam holds nothing but links are asked again with a wider one.  Queries whose beam
+would pass MOST_BEAM are compared with all nodes instead, so no case is dropped; the result tells what
+the audits have measured.
+
+Candidates are verified by cosine in double precision.  Links are united as they come, never held as all
+pairs; a task gives each query's number of links, and links that join its connected vectors by a tree.
+Their union over tasks gives the components.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component, and vectors whose
 label is null, have no links and are their own component.  Vectors of different dimension never link.
 Equal vectors link with cosine 1.  vec_id names a vector: rows that repeat an id count as one node of
-the graph and join what they link.  An empty table gives an empty result.
+the graph and join what they link; a null id has no links.  Vectors may be as long as a task can hold a
+shard of them.  An empty table gives an empty result.  Other input columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,18 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.components import components, forest, tree
+from linkloom.llm.components import components, tree, unite
 from linkloom.llm.tables import lookup, read, small_batches, stage
 
 THRESHOLD = 0.98
-#: Vectors of a graph on average (at 1024 dimensions 64 MB) and of a block of queries.
-SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
+#: Vectors of a graph on average (at 1024 dimensions 64 MB), of a task's queries, and of those that come together.
+SHARD_ROWS, BLOCK_ROWS, ASKED = 16_384, 262_144, 4_096
 #: Neighbours of a node at the lowest level and above, beam while building and first beam of a query.
 WIDE, NARROW, BUILD_BEAM, BEAM = 24, 12, 32, 16
-MOST_BEAM, WANTED, AUDITED = 256, 0.99, 48
-#: Nodes that an audited query must find whatever their cosine: itself, if it is of the shard, and another.
-NEAREST = 2
+MOST_BEAM, WANTED = 256, 0.99
+#: Probes of a graph; queries compared at a time by the other audit, and links that end it.
+PROBES, AUDITED, AUDIT_LINKS = 128, 48, 64
+#: Least recall that the result promises.
+LEAST_RECALL = 0.9
 BATCH = 256
+#: Float cosines this much under the threshold are verified.
+SLACK = 1e-4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -201,50 +214,80 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
 
 
-def _all_pairs(q: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
-    """(query, node) pairs about or over the threshold, all compared."""
-    out = [np.zeros((0, 2), np.int64)]
-    for i in range(0, len(q), 512):
-        r, c = np.nonzero(q[i : i + 512] @ x.T >= threshold - 1e-4)
-        out.append(np.stack([r + i, c], 1))
-    return np.concatenate(out)
-
-
-def find(graph: Graph, q: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """(query, node) pairs that may reach the threshold; the beam widens until the audit passes and no beam is full of hits."""
-    audit = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDITED)).astype(np.int64))
-    n = len(graph.x)
-    sims = q[audit] @ graph.x.T
-    true = sims >= threshold - 1e-4
-    np.put_along_axis(true, np.argsort(-sims, axis=1, kind="stable")[:, :NEAREST], True, axis=1)
-    truth = np.argwhere(true)
-    truth[:, 0] = audit[truth[:, 0]]
-    todo, beam, out, passed = np.arange(len(q)), BEAM, [], False
-    while len(todo):
-        if beam > MOST_BEAM or 4 * beam > len(graph.x):
-            p = _all_pairs(q[todo], graph.x, threshold)
-            out.append(np.stack([todo[p[:, 0]], p[:, 1]], 1))
-            break
-        full, part, seen = [], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+class Searcher:
+    """Finds links of queries in a graph; counts what the audits saw (`true`, `found`) and how many queries were compared with all (`compared`)."""
+
+    def __init__(self, graph: Graph, threshold: float) -> None:
+        self.graph, self.threshold = graph, threshold
+        self.true = self.found = self.compared = self.asked = 0
+        self.beam = self._probed()
+
+    def _probed(self) -> int:
+        """The least beam that finds WANTED of the probes; over MOST_BEAM if none does."""
+        x, rng = self.graph.x, np.random.default_rng(len(self.graph.x))
+        nodes = rng.permutation(len(x))[:PROBES]
+        own = x[nodes].astype(np.float64)
+        aside = rng.normal(size=own.shape)
+        aside -= np.einsum("ij,ij->i", aside, own)[:, None] * own
+        size = np.linalg.norm(aside, axis=1, keepdims=True)
+        aside = np.divide(aside, size, out=np.zeros_like(aside), where=size > 1e-9)
+        probes = unit(self.threshold * own + np.sqrt(max(0.0, 1 - self.threshold**2)) * aside)
+        beam = BEAM
+        while beam <= MOST_BEAM:
+            ids, sims = self.graph.nearest(probes, beam)
+            # A beam full of nodes that are as near has done its work: such a query is asked again anyway.
+            hit = (ids == nodes[:, None]).any(1) | (sims[:, -1] >= self.threshold - SLACK)
+            if hit.sum() >= WANTED * len(nodes):
+                self.true, self.found = self.true + len(nodes), self.found + int(hit.sum())
+                break
+            beam *= 2
+        return beam
+
+    def _audit(self, q: np.ndarray, itself: np.ndarray) -> np.ndarray:
+        """True links (query, node) of queries drawn until enough links are seen; itself: each query's own node, -1 if none."""
+        order = np.random.default_rng(len(q)).permutation(len(q))
+        most, out, links = max(AUDITED, len(q) // 8), [np.zeros((0, 2), np.int64)], 0
+        for i in range(0, min(most, len(q)), AUDITED):
+            drawn = order[i : i + AUDITED]
+            r, c = np.nonzero(q[drawn] @ self.graph.x.T >= self.threshold - SLACK)
+            other = c != itself[drawn[r]]
+            out.append(np.stack([drawn[r[other]], c[other]], 1))
+            if (links := links + int(other.sum())) >= AUDIT_LINKS:
+                break
+        return np.concatenate(out)
+
+    def _by_graph(self, q: np.ndarray, todo: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs about or over the threshold, and the queries whose beam holds nothing else."""
+        part, full = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(todo), BATCH):
             own = todo[i : i + BATCH]
-            ids, sims = graph.nearest(q[own], beam)
-            hit = sims >= threshold - 1e-4
+            ids, sims = self.graph.nearest(q[own], beam)
+            hit = sims >= self.threshold - SLACK
             r, c = np.nonzero(hit)
             part.append(np.stack([own[r], ids[r, c]], 1))
             full.append(own[hit[:, -1]])
-            r, c = np.nonzero(np.isin(own, audit)[:, None] & (ids >= 0))
-            seen.append(np.stack([own[r], ids[r, c]], 1))
-        found = np.concatenate(part)
-        again = np.concatenate(full)  # their beams hold nothing but hits, so there may be more
-        want = truth[np.isin(truth[:, 0], todo) & ~np.isin(truth[:, 0], again)]
-        if len(want):  # without evidence at this beam, that of a narrower one counts
-            passed = np.isin(want @ [n, 1], np.concatenate(seen) @ [n, 1]).sum() >= WANTED * len(want)
-        if not passed:
-            again = todo
-        out.append(found[~np.isin(found[:, 0], again)])
-        todo, beam = again, 2 * beam
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return np.concatenate(part), np.concatenate(full)
+
+    def find(self, q: np.ndarray, itself: np.ndarray) -> Iterator[np.ndarray]:
+        """(query, node) pairs that may be links, in parts of at most BATCH queries' worth where these are compared with all."""
+        n = len(self.graph.x)
+        truth = self._audit(q, itself)
+        todo, beam = np.arange(len(q)), self.beam
+        self.asked += len(q)
+        while len(todo) and beam <= MOST_BEAM:
+            pairs, full = self._by_graph(q, todo, beam)
+            want = truth[np.isin(truth[:, 0], todo) & ~np.isin(truth[:, 0], full)]
+            got = int(np.isin(want @ [n, 1], pairs @ [n, 1]).sum())
+            if got >= WANTED * len(want):
+                self.true, self.found = self.true + len(want), self.found + got
+                yield pairs[~np.isin(pairs[:, 0], full)]
+                todo = full
+            beam *= 2
+        self.compared += len(todo)
+        for i in range(0, len(todo), BATCH):
+            own = todo[i : i + BATCH]
+            r, c = np.nonzero(q[own] @ self.graph.x.T >= self.threshold - SLACK)
+            yield np.stack([own[r], c], 1)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -284,50 +327,75 @@ def _builder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _searcher(threshold: float):
+#: What a row of the search tells: a link of the tree (a, b); the links (n) of a query a; of a label a, the true links of audits (n) and those found (b); the queries (n) and those compared with all nodes (b).
+LINK, COUNT, AUDIT, ASKS = 0, 1, 2, 3
+
+
+def _searched(threshold: float):
+    """Rows of (label, shard, block), the graph first and then queries, as (kind, a, b, n)."""
+
+    def answers(index: tuple, searcher: Searcher, held: list) -> pa.RecordBatch:
+        nodes, weights, x = index
+        own = np.concatenate([b.column("rep").to_numpy() for b in held])
+        q = np.concatenate([_vectors(b.column("embedding")) for b in held]).astype(np.float64)
+        order = np.argsort(nodes)
+        at = order[np.minimum(np.searchsorted(nodes, own, sorter=order), len(nodes) - 1)]
+        itself = np.where(nodes[at] == own, at, -1)
+        everyone, place = np.unique(np.concatenate([own, nodes]), return_inverse=True)
+        links, label = np.zeros(len(own), np.int64), np.arange(len(everyone))
+        for found in searcher.find(unit(q), itself):
+            for pairs in np.array_split(found, 1 + len(found) // 65_536):
+                pairs = pairs[pairs[:, 1] != itself[pairs[:, 0]]]
+                pairs = pairs[_cosine(q[pairs[:, 0]], x[pairs[:, 1]]) >= threshold]
+                np.add.at(links, pairs[:, 0], weights[pairs[:, 1]])
+                label = unite(label, place[: len(own)][pairs[:, 0]], place[len(own) :][pairs[:, 1]])
+        child, parent = tree(everyone, label)
+        some = own[links > 0]
+        return _told(np.repeat([LINK, COUNT], [len(child), len(some)]), np.concatenate([child, some]), np.concatenate([parent, some]), np.concatenate([np.zeros(len(child), np.int64), links[links > 0]]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, index, held = None, None, []
+        now = index = searcher = None
+        held, rows = [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            if index is None or not held:
-                return
-            nodes, weights, x, graph = index
-            own = np.concatenate([b.column("rep").to_numpy() for b in held])
-            q = np.concatenate([_vectors(b.column("embedding")) for b in held]).astype(np.float64)
-            pairs = find(graph, unit(q), threshold)
-            pairs = pairs[nodes[pairs[:, 1]] != own[pairs[:, 0]]]
-            sure = np.concatenate([_cosine(q[p[:, 0]], x[p[:, 1]]) >= threshold for p in np.array_split(pairs, 1 + len(pairs) // 65_536)])
-            pairs = pairs[sure]
-            links = np.zeros(len(own), np.int64)
-            np.add.at(links, pairs[:, 0], weights[pairs[:, 1]])
-            everyone, place = np.unique(np.concatenate([own, nodes]), return_inverse=True)
-            ends = np.stack([place[: len(own)][pairs[:, 0]], place[len(own) :][pairs[:, 1]]], 1)
-            child, parent = tree(everyone, forest(len(everyone), ends))
-            a = np.concatenate([own[links > 0], child])
-            b = np.concatenate([own[links > 0], parent])
-            n = np.concatenate([links[links > 0], np.zeros(len(child), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
+            nonlocal held, rows
+            if held and searcher is not None:
+                yield answers(index, searcher, held)
+            held, rows = [], 0
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            yield from close()
+            if searcher is not None:
+                yield _told(np.array([AUDIT, ASKS]), np.full(2, now[0]), np.array([searcher.found, searcher.compared]), np.array([searcher.true, searcher.asked]))
 
         for key, part in _groups(batches, ["lab", "shard", "block"]):
             if key != now:
-                yield from close()
-                now, index, held = key, None, []
+                yield from finish()
+                now, index, searcher = key, None, None
             rest = part
             if index is None:  # the graph comes first
                 row = part.slice(0, 1).to_pylist()[0]
                 ids = np.frombuffer(row["ids"], "<i8")
                 x = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
-                index = ids, np.frombuffer(row["weights"], "<i8"), x, Graph.load(unit(x), row["near"])
+                index = ids, np.frombuffer(row["weights"], "<i8"), x
+                searcher = Searcher(Graph.load(unit(x), row["near"]), threshold)
                 rest = part.slice(1)
             if rest.num_rows:
                 held.append(rest.select(["rep", "embedding"]))
-        yield from close()
+                rows += rest.num_rows
+                if rows >= ASKED:
+                    yield from close()
+        yield from finish()
 
     return run
 
 
-def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
-    """key, n_links and component_id of every row of vectors."""
+def _told(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["kind", "a", "b", "n"])
+
+
+def searched(vectors: DataFrame, key: str, vector: str, label: str, threshold: float, shard_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged tables: rows (id, g), distinct vectors (g, rep, weight, lab), and what the searches tell (kind, a, b, n)."""
     small_batches(vectors.sparkSession)
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -337,7 +405,7 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     reps = stage(rows.where(F.col("g").isNotNull() & F.col("id").isNotNull()).groupBy("g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("lab").alias("lab"), F.first("embedding").alias("embedding")), "reps")
     counts = stage(reps.groupBy("lab").agg(F.count(F.lit(1)).alias("n")), "label-counts")
     parts = lambda size: F.ceil(F.col("n") / F.lit(size)).cast("int")
-    nodes = stage(lookup(reps.drop("g"), counts, "lab").select("lab", "rep", "weight", "embedding", parts(SHARD_ROWS).alias("shards"), parts(BLOCK_ROWS).alias("blocks")), "vectors")
+    nodes = stage(lookup(reps.drop("g"), counts, "lab").select("lab", "rep", "weight", "embedding", parts(shard_rows).alias("shards"), parts(BLOCK_ROWS).alias("blocks")), "vectors")
     shard = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shards")).cast("int")
     index = nodes.select("lab", shard.alias("shard"), "rep", "weight", "embedding").repartition("lab", "shard").sortWithinPartitions("lab", "shard", F.xxhash64("rep", F.lit(2)))
     index = stage(index.mapInArrow(_builder, "lab long, shard int, ids binary, weights binary, vectors binary, near binary"), "graphs")
@@ -347,17 +415,33 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     block = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")
     asks = nodes.select("lab", every(F.col("shards")).alias("shard"), block.alias("block"), "rep", "embedding")
     both = graphs.unionByName(asks, allowMissingColumns=True).repartition("lab", "shard", "block").sortWithinPartitions("lab", "shard", "block", F.col("near").isNull())
-    found = stage(both.mapInArrow(_searcher(threshold), "a long, b long, n long"), "found")
-    joined = components(found.where("a <> b").select("a", "b"), "vector-links")
-    links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    each = reps.select("g", "rep", "weight").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    each = stage(each.select("g", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "each")
-    held = stage(rows.select("id", "g"), "vector-groups")
-    return lookup(held, each, "g").select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    told = stage(both.mapInArrow(_searched(threshold), "kind long, a long, b long, n long"), "found")
+    return stage(rows.select("id", "g"), "vector-groups"), reps.select("g", "rep", "weight", "lab"), told
+
+
+def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """key, n_links, component_id and recall (what the audits of the label measured; null without a search) of every row of vectors."""
+    held, reps, told = searched(vectors, key, vector, label, threshold, shard_rows)
+    joined = components(told.where(F.col("kind") == LINK).select("a", "b"), "vector-links")
+    links = told.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    audits = stage(told.where(F.col("kind") == AUDIT).groupBy(F.col("a").alias("lab")).agg((F.sum("b") / F.sum("n")).alias("recall")), "audits")
+    each = reps.join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    each = stage(each.select("g", "lab", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "each")
+    each = stage(lookup(each, audits, "lab").drop("lab"), "measured")
+    return lookup(held, each, "g").select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), "recall")
+
+
+def search_report(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row: searches (graph and task), queries, those compared with all nodes, true links and probes of audits, those found."""
+    told = searched(vectors, key, vector, label, threshold, shard_rows)[2]
+    of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    return told.agg(F.count_if(F.col("kind") == ASKS).alias("searches"), of(ASKS, "n").alias("queries"), of(ASKS, "b").alias("compared"), of(AUDIT, "n").alias("true"), of(AUDIT, "b").alias("found"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(read(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = link(read(spark, sf_dir, "embeddings"))
+    met = F.coalesce(F.col("recall") >= LEAST_RECALL, F.lit(True))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), met.alias("recall_met"))
 
 
 SQL = f"""
@@ -367,5 +451,5 @@ WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddi
 , r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 , c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 , n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
-SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept, TRUE AS recall_met FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
 """

@@ -1,18 +1,21 @@
 """WARC archives by a deterministic sharded writer, and their reader.
 
-Records are range-sorted by a hash of the page id: shard n holds the n-th of `shards` equal ranges of
-hash values, and is sorted by hash, id and digest, so files depend on the records alone, not on how
-Spark dealt them.  A shard rolls to a new file once the compressed size of the current one exceeds
-`roll_bytes`.  Headers and digests are made anew from the payload.  A file is written under a temporary
-name of its attempt and renamed when complete; only files named in a manifest count, and the manifest
-of a shard is what its task returns, so a lost executor or a second attempt leaves nothing half-done.
+Records are range-sorted by a hash of the page id, the payload and the url: shard n holds the n-th of
+`shards` equal ranges of hash values, and is sorted by hash, id and digest, so files depend on the
+records alone, not on how Spark dealt them.  A shard rolls to a new file once the compressed size of the
+current one reaches `roll_bytes`; a shard holds several times that.  Headers and digests are made anew
+from the payload.  A file is written under a temporary name of its attempt, in a folder for such, and
+renamed when complete.  What a shard's task has committed is told in the manifest, a table beside the
+files that is itself written under a temporary name and renamed last; then the folder of temporary files
+goes, with whatever lost attempts have left there.  Only files named in the manifest count.
 
 Of records with equal payloads of at least LEAST_BYTES bytes, the one with the largest page id is a
 response and the others are revisits of it without a payload.
 
 Defined results: a null html is an empty payload.  Rows that repeat the largest id with the same payload
-are all responses; a null id is below all others.  An empty table gives no file and no row.  Payloads
-of any length are written whole.  Only id, url and html are read, so other columns don't matter.
+are all responses; a null id is below all others.  An empty table gives a manifest without files and no
+row.  Payloads of any length are written whole.  Only id, url and html are read, so other columns may
+have any name.  Rows equal in id, url and html share a shard.
 """
 
 from __future__ import annotations
@@ -31,28 +34,30 @@ from pyspark.sql import functions as F
 from linkloom.llm.tables import lookup, read, scratch, small_batches, stage
 
 LEAST_BYTES = 1000
-SHARD_BYTES, ROLL_BYTES = 32 << 20, 64 << 20
+#: Payload of a shard (a task), compressed size at which a file ends: markup shrinks to about a fifth, so a shard makes about two files.
+SHARD_BYTES, ROLL_BYTES = 64 << 20, 8 << 20
 MAX_SHARDS = 1 << 20
+MANIFEST, TEMPORARY = "manifest", "_temporary-files"
 #: Field names and texts of the WARC 1.1 format.
 _DATE, _PROFILE = "1970-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _NAMESPACE = uuid.UUID(int=0x6C696E6B6C6F6F6D)
 
 
-def plan(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """What is to be written: shard, order, id, url, payload (null for revisits), bytes, digest, refers."""
+def plan(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """What is to be written: shard, order, id, url, payload (null for revisits), bytes, digest, refers; and the number of shards."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    known = stage(rows.select("id", F.xxhash64("id").alias("order"), F.length("payload").cast("long").alias("bytes"), F.unhex(F.sha2("payload", 256)).alias("same")), "warc-ids")
+    known = stage(rows.select("id", F.length("payload").cast("long").alias("bytes"), F.unhex(F.sha2("payload", 256)).alias("same")), "warc-ids")
     largest = stage(known.where(F.col("bytes") >= LEAST_BYTES).groupBy("same").agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "largest"), "warc-largest")
     total = known.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = max(1, min(MAX_SHARDS, -(-total // shard_bytes)))
     refers = stage(lookup(known.where(F.col("bytes") >= LEAST_BYTES), largest, "same").where(~F.col("largest").eqNullSafe(F.col("id")) & F.col("largest").isNotNull()).select(F.col("id").alias("rid"), F.col("same").alias("rsame"), F.col("largest").alias("refers")).distinct(), "warc-refers")
-    full = rows.withColumns({"order": F.xxhash64("id"), "bytes": F.length("payload").cast("long"), "digest": F.sha1("payload"), "same": F.unhex(F.sha2("payload", 256))})
+    full = rows.withColumns({"order": F.xxhash64("id", "payload", "url"), "bytes": F.length("payload").cast("long"), "digest": F.sha1("payload"), "same": F.unhex(F.sha2("payload", 256))})
     full = full.join(refers, F.col("id").eqNullSafe(F.col("rid")) & (F.col("same") == F.col("rsame")), "left")
     # The top 32 bits of the hash, from 0 to 2^32, times the shards over 2^32.
     place = F.shiftright((F.shiftright("order", 32) + F.lit(1 << 31)) * F.lit(shards), 32).cast("int")
-    return full.select(place.alias("shard"), "order", "id", "url", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"), "bytes", "digest", "refers")
+    return full.select(place.alias("shard"), "order", "id", "url", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"), "bytes", "digest", "refers"), shards
 
 
 def record(id_: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers: int | None) -> bytes:
@@ -77,7 +82,7 @@ def record(id_: int | None, url: str | None, payload: bytes | None, size: int, d
 
 
 def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return pa.fs.FileSystem.from_uri(_address(uri))
 
 
 class _Roller:
@@ -102,8 +107,8 @@ class _Roller:
             self.close()
             self.shard, self.part = shard, 0
         if self.out is None:
-            self.fs.create_dir(self.root, recursive=True)
-            self.temporary = f"{self.root}/.{self.attempt}-{shard:07d}-{self.part:05d}.tmp"
+            self.fs.create_dir(f"{self.root}/{TEMPORARY}", recursive=True)
+            self.temporary = f"{self.root}/{TEMPORARY}/{self.attempt}-{shard:07d}-{self.part:05d}"
             self.out, self.records, self.size, self.sha = self.fs.open_output_stream(self.temporary), 0, 0, hashlib.sha1()
         self.out.write(data)
         self.records, self.size = self.records + 1, self.size + len(data)
@@ -125,11 +130,41 @@ def _writer(folder: str, roll_bytes: int):
     return run
 
 
+def _move(spark: SparkSession, old: str, new: str | None) -> None:
+    """Renames a folder, over another if there is one, or removes it."""
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(old).getFileSystem(spark._jsc.hadoopConfiguration())
+    if new is None:
+        fs.delete(path(old), True)
+        return
+    fs.delete(path(new), True)
+    if not fs.rename(path(old), path(new)):
+        raise OSError(f"{old} could not be renamed")
+
+
+def _address(folder: str) -> str:
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Writes the archives to folder (any address that pyarrow opens, or a shared path); gives the manifest, a staged table of files."""
-    small_batches(pages.sparkSession)
-    rows = plan(pages, key, url, html, shard_bytes).repartition("shard").sortWithinPartitions("shard", "order", "id", "digest", "url")
-    return stage(rows.mapInArrow(_writer(folder, roll_bytes), "shard int, file string, records long, bytes long, sha1 string"), "warc-manifest")
+    """Writes the archives and their manifest to folder (any address that both pyarrow and Spark open, or a shared path); gives the manifest."""
+    spark, root = pages.sparkSession, _address(folder)
+    small_batches(spark)
+    _move(spark, f"{root}/{TEMPORARY}", None)
+    _move(spark, f"{root}/{MANIFEST}", None)  # of an earlier run: its files no longer count
+    rows, shards = plan(pages, key, url, html, shard_bytes)
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order", "id", "digest", "url")
+    told = rows.mapInArrow(_writer(folder, roll_bytes), "shard int, file string, records long, bytes long, sha1 string")
+    new = f"{root}/{MANIFEST}-{uuid.uuid4().hex}.new"
+    told.write.parquet(new)
+    _move(spark, new, f"{root}/{MANIFEST}")
+    _move(spark, f"{root}/{TEMPORARY}", None)
+    return manifest(spark, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that count in a folder that write() has committed."""
+    return spark.read.schema("shard int, file string, records long, bytes long, sha1 string").parquet(f"{_address(folder)}/{MANIFEST}")
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -181,16 +216,17 @@ def _reader(folder: str, payloads: bool):
     return run
 
 
-def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """A row per record of the files in the manifest; the files are dealt over all tasks."""
-    files = manifest.select("file").repartition(max(1, min(MAX_SHARDS, manifest.count())), "file")  # a count keeps Spark from joining these few rows to one task
+def read_archives(files: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
+    """A row per record of the files that a manifest names; the files are dealt over all tasks."""
+    files = files.select("file").repartition(max(1, min(MAX_SHARDS, files.count())), "file")  # a count keeps Spark from joining these few rows to one task
     kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     return files.mapInArrow(_reader(folder, payloads), kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
-    return read_archives(write(read(spark, sf_dir, "pages"), folder), folder)
+    write(read(spark, sf_dir, "pages"), folder)
+    return read_archives(manifest(spark, folder), folder)
 
 
 SQL = f"""

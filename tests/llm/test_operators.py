@@ -221,10 +221,19 @@ def test_embeddings_by_hand(spark):
     assert op5_hnsw.link(df.limit(0)).count() == 0
 
 
-def test_embeddings_of_the_table(spark):
+@pytest.mark.parametrize("shard_rows", [op5_hnsw.SHARD_ROWS, 16])
+def test_embeddings_of_the_table(spark, shard_rows):
     t = spark.read.parquet(f"{SF}/embeddings.parquet")
     v = {r["vec_id"]: (r["embedding"], r["label"]) for r in rows(t)}
-    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(op5_hnsw.link(t))} == plain_links(v)
+    got = rows(op5_hnsw.link(t, shard_rows=shard_rows))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == plain_links(v)
+    assert all(r["recall"] is None or r["recall"] >= 0.98 for r in got)
+    report = rows(op5_hnsw.search_report(t, shard_rows=shard_rows))[0]
+    assert report["compared"] <= 0.02 * report["queries"] and report["true"] >= 400 and (shard_rows > 16 or report["searches"] >= 25)
+
+
+def _pairs(searcher, q, itself=None):
+    return {tuple(p) for part in searcher.find(q, np.full(len(q), -1) if itself is None else itself) for p in part.tolist()}
 
 
 def test_graph_recall():
@@ -234,9 +243,27 @@ def test_graph_recall():
     graph = op5_hnsw.Graph.build(x)
     again = op5_hnsw.Graph.load(x, graph.dump())
     assert all((a == b).all() for a, b in zip(graph.near, again.near, strict=True))
-    truth = set(map(tuple, op5_hnsw._all_pairs(x, x, 0.98).tolist()))
-    found = op5_hnsw.find(again, x)
-    assert len(set(map(tuple, found.tolist()))) == len(found) and len(set(map(tuple, found.tolist())) & truth) >= 0.99 * len(truth)
+    truth = {tuple(p) for p in np.argwhere(x @ x.T >= 0.98 - op5_hnsw.SLACK).tolist()}
+    searcher = op5_hnsw.Searcher(again, 0.98)
+    found = _pairs(searcher, x, np.arange(len(x)))
+    assert found <= truth and len(found) >= 0.99 * len(truth)
+    assert searcher.compared <= 0.02 * len(x) and searcher.true >= op5_hnsw.PROBES + op5_hnsw.AUDIT_LINKS
+
+
+def test_graph_recall_where_links_are_rare():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 32))
+    q = op5_hnsw.unit(np.concatenate([x[:40] + 0.015 * rng.normal(size=(40, 32)), rng.normal(size=(3000, 32))]))
+    x = op5_hnsw.unit(x)
+    searcher = op5_hnsw.Searcher(op5_hnsw.Graph.build(x), 0.98)
+    assert {(i, i) for i in range(40)} <= _pairs(searcher, q) and searcher.compared == 0
+
+
+def test_one_dense_group_is_found_whole():
+    rng = np.random.default_rng(9)
+    x = op5_hnsw.unit(np.ones(16) + 0.03 * rng.normal(size=(1200, 16)))
+    searcher = op5_hnsw.Searcher(op5_hnsw.Graph.build(x), 0.98)
+    assert _pairs(searcher, x) == {tuple(p) for p in np.argwhere(x @ x.T >= 0.98 - op5_hnsw.SLACK).tolist()}
 
 
 def test_warc(spark, tmp_path):
@@ -252,13 +279,18 @@ def test_warc(spark, tmp_path):
         for f in files:
             assert hashlib.sha1((tmp_path / name / f["file"]).read_bytes()).hexdigest() == f["sha1"]
             assert gzip.open(tmp_path / name / f["file"]).read().startswith(b"WARC/1.1\r\n")
-        assert not list((tmp_path / name).glob(".*tmp"))
+        assert {p.name for p in (tmp_path / name).iterdir()} == {f["file"] for f in files} | {"manifest"}
+        assert sorted(map(str, rows(op6_warc.manifest(spark, f"{tmp_path}/{name}")))) == sorted(map(str, files))
     assert got["one"] == got["two"]
-    assert [p.read_bytes() for p in sorted((tmp_path / "one").iterdir())] == [p.read_bytes() for p in sorted((tmp_path / "two").iterdir())]
+    assert [p.read_bytes() for p in sorted((tmp_path / "one").glob("shard*"))] == [p.read_bytes() for p in sorted((tmp_path / "two").glob("shard*"))]
     back = {r["page_id"]: r for r in rows(op6_warc.read_archives(manifest, f"{tmp_path}/two", payloads=True))}
     assert back[1]["record_type"] == "revisit" and back[1]["refers_to"] == 2 and back[1]["payload_bytes"] == 1400 and back[1]["payload"] == b""
     assert back[2]["record_type"] == "response" and back[2]["payload"] == big.encode() and back[2]["payload_digest"] == hashlib.sha1(big.encode()).hexdigest()
     assert {back[i]["record_type"] for i in (3, 4, 5, 6, 7, 8)} == {"response"} and back[8]["payload"] == pages[8][2].encode() and back[5]["payload_bytes"] == 0
+    (tmp_path / "two" / "_temporary-files").mkdir()  # what a lost attempt leaves, and files of an earlier run that a new one doesn't name
+    (tmp_path / "two" / "_temporary-files" / "lost").write_bytes(b"half")
+    again = op6_warc.write(df.limit(1), f"{tmp_path}/two")
+    assert again.count() == 1 and op6_warc.read_archives(op6_warc.manifest(spark, f"{tmp_path}/two"), f"{tmp_path}/two").count() == 1 and not (tmp_path / "two" / "_temporary-files").exists()
     empty = op6_warc.write(df.limit(0), f"{tmp_path}/none")
     assert empty.count() == 0 and op6_warc.read_archives(empty, f"{tmp_path}/none").count() == 0
 
@@ -477,7 +509,7 @@ def test_pii_takes_long_secrets_whole(spark):
 def test_hnsw_audit_needs_evidence():
     rng = np.random.default_rng(5)
     x, q = (op5_hnsw.unit(rng.normal(size=(n, 32))) for n in (4000, 100))
-    q[1] = x[777]  # not among the audited queries, which have no link
+    q[1] = x[777]
 
     class Blind:
         def __init__(self):
@@ -487,4 +519,5 @@ def test_hnsw_audit_needs_evidence():
             ids = np.tile(np.arange(beam), (len(q), 1))
             return ids, np.take_along_axis(q @ x.T, ids, 1)
 
-    assert op5_hnsw.find(Blind(), q).tolist() == [[1, 777]]
+    searcher = op5_hnsw.Searcher(Blind(), 0.98)
+    assert _pairs(searcher, q) == {(1, 777)} and searcher.compared == 100
