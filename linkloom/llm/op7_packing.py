@@ -4,8 +4,9 @@ The ids of a document are cut into full pieces of MAX_LENGTH and then one piece
 of the rest, longest first.  Every piece is a sequence of its own, sequences are numbered by length,
 and so no sequence crosses documents and none needs padding: each length is a power of two.
 
-Defined results: a null or empty text has one token, the closing id.  Repeated rows are packed each on
-its own.  An empty table gives no piece.  Texts of any length are cut whole.  Clashing names of other
+Defined results: a null or empty text has one token, the closing id.  Repeated rows, and rows of one id
+or none, are packed each on its own.  Sequences go by length, a hash of id and place, id, place, number
+of tokens and checksum.  An empty table gives no piece.  Texts of any length are cut whole.  Clashing names of other
 input columns don't matter, as only the id and the text are read.
 """
 
@@ -126,7 +127,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = V
     order = (F.lit(longest.bit_length()) - F.floor(F.log2("length") + 0.5)).cast("long") * SPREAD + spread
     narrow = cut(False)
     held = None if keep_ids else stage(narrow, "pieces")
-    out = ranked(cut(True) if keep_ids else held, [], [F.col("__key"), F.col("start")], "sequence_id", bucket=order, rows=narrow if keep_ids else None)
+    out = ranked(cut(True) if keep_ids else held, [], [F.col("__key"), F.col("start"), F.col("doc_tokens"), F.col("ids_crc32")], "sequence_id", bucket=order, rows=narrow if keep_ids else None)
     return out.select(F.col("__key").alias(key), "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else []), "sequence_id", F.lit(0).cast("long").alias("offset"))
 
 
