@@ -18,9 +18,9 @@ A group gives links that join its connected members by a tree of bounded fan-out
 Defined results: a null text and one without words have fingerprint zero, linked like any other.
 Repeated rows and exact copies share a fingerprint.  Texts of any length are hashed whole.  An empty
 table gives an empty result.  Only the id and the text are read, so nulls in other columns and clashing
-names don't matter; a null id is a component's smallest only where all its ids are null.  keep_one()
-names rows by a number of their own: of each component it keeps one row whatever its ids are, the one
-of the smallest id (null last), then of the smallest hash of its text.
+names don't matter; a null id is a component's smallest only where all its ids are null.  Of each
+component keep_one() keeps one row whatever its ids are: that of the smallest id (null last), then of the
+smallest hash of id and text; of rows equal in both, which are copies, any one.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components, tree, unite
-from linkloom.llm.tables import lookup, numbered, read, small_batches, stage
+from linkloom.llm.tables import lookup, named, read, small_batches, stage
 
 WORDS, SEED, BUDGET = 4, 42, 4
 #: Fingerprints that a group of the join should have at most on average, were bits independent.
@@ -259,12 +259,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with the columns of docs."""
-    own = numbered(docs, "documents")
+    own = named(docs, key, text)
     k = F.col("key")
-    asked = own.select("row", F.col("d")[key].alias("key"), F.col("d")[text].alias("text")).withColumn("h", F.xxhash64("text"))
-    _, of = _components(asked, k.isNull().alias("none"), k.alias("key"), F.col("h"), F.col("row"))
-    kept = stage(of.groupBy("c").agg(F.min("least")["row"].alias("row")).select("row"), "kept")
-    return own.join(kept, "row", "left_semi").select("d.*")
+    asked = own.select("h1", "h2", F.col("d")[key].alias("key"), F.col("d")[text].alias("text"))
+    _, of = _components(asked, k.isNull().alias("none"), k.alias("key"), F.col("h1"), F.col("h2"))
+    kept = stage(of.groupBy("c").agg(F.min("least").alias("x")).select("x.h1", "x.h2"), "kept")
+    # Both steps use one shuffle; copies meet in it by id and text, so only rows that repeat an id in full share a key.
+    return own.join(kept, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("d.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ that no task holds a source.
 
 Defined results: a null text has size 0; the null source is a source, ordered last.  Documents of size
 0 take nothing.  Ties go by source rank, shuffle key, id (null first), size and hash of the text;
-repeated rows, and rows of one id or none, count each as a document, in mixed() too, which names rows by
-a number of their own.  An empty table gives an empty result.  Texts of any length are counted whole.
+repeated rows, and rows of one id or none, count each as a document, in mixed() too, where the copies of
+rows equal in id, source and text are dealt evenly among them.  An empty table gives an empty result.  Texts of any length are counted whole.
 Other input columns may have any name; mixed() keeps all.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from linkloom.llm.tables import WORD, numbered, read, stage, summed
+from linkloom.llm.tables import WORD, named, read, stage, summed
 
 WEIGHTS, REPEATS, SEED = (1, 2, 3), 3, 17
 #: Buckets of a source's shuffle key: at 10^10 rows about 10^7 rows each.
@@ -59,9 +59,9 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: i
 
 
 def _mix(rows: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
-    """rows (row, k, source, text) as row, k, size, source_size, target and copies (how often the mix has the row)."""
+    """rows (h1, h2, k, source, text) as h1, h2, k, size, source_size, target and copies (how often the mix has the row)."""
     shuffled = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("k").cast("string"), F.lit(str(SEED)))), 1, 15), 16, 10).cast("long")
-    base = stage(rows.select("row", "k", "source", sizes(rows).alias("size"), shuffled.alias("h"), F.xxhash64("text").alias("t")), "sizes")
+    base = stage(rows.select("h1", "h2", "k", "source", sizes(rows).alias("size"), shuffled.alias("h")), "sizes")
     bucket = F.shiftright("h", 60 - (BUCKETS.bit_length() - 1))
     sums = stage(base.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")), "buckets")
     plan = stage(targets(stage(sums.groupBy("source").agg(F.sum("n").alias("source_size")), "sources"), weights, repeats), "targets").withColumnRenamed("source", "s")
@@ -73,9 +73,9 @@ def _mix(rows: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
     earlier = W.partitionBy("rank").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     firsts = planned(sums).select("rank", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     # A source's rows lie evenly in its BUCKETS, so neither this join nor the window has a hot key.
-    inside = W.partitionBy("rank", "b").orderBy("h", "k", "size", "t", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("rank", "b").orderBy("h", "k", "size", "h1", "h2").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = planned(base).withColumn("b", bucket).join(firsts, ["rank", "b"], "inner")
-    placed = stage(placed.withColumn("upto", F.col("first") + F.sum("size").over(inside)).drop("first", "b", "h", "t"), "placed")
+    placed = stage(placed.withColumn("upto", F.col("first") + F.sum("size").over(inside)).drop("first", "b", "h"), "placed")
 
     # upto ascends within a source where documents have a size, so this order has no ties.
     order = ["time", "rank", "again", "upto"]
@@ -92,21 +92,30 @@ def _mix(rows: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
         return (F.struct(time(n).alias("time"), F.col("rank").cast("long"), F.lit(n).alias("again"), F.col("upto").cast("long")) <= last).cast("int")
 
     copies = F.when(F.col("size") > 0, sum((has(n) for n in range(repeats)), F.lit(0))).otherwise(0)
-    return placed.select("row", "k", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    return placed.select("h1", "h2", "k", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """docs' rows as key, size, source_size, target, taken (words) and copies (how often the mix has the row)."""
-    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(key).alias("k"), F.col(source).alias("source"), F.col(text).alias("text"))
+    rows = named(docs, key, source, text).select("h1", "h2", F.col("d")[key].alias("k"), F.col("d")[source].alias("source"), F.col("d")[text].alias("text"))
     return _mix(rows, weights, repeats).select(F.col("k").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """docs with each row as often as the mix takes it."""
-    own = numbered(docs, "documents")
-    rows = own.select("row", F.col("d")[key].alias("k"), F.col("d")[source].alias("source"), F.col("d")[text].alias("text"))
-    plan = _mix(rows, weights, repeats).where("copies > 0").select("row", "copies")
-    return own.join(plan, "row").select("d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("d.*")
+    """docs with each row as often as the mix takes it.
+
+    Equal rows share their copies: each has as many as all can have, and one of them the few that are left.
+    """
+    own = named(docs, key, source, text)
+    rows = own.select("h1", "h2", F.col("d")[key].alias("k"), F.col("d")[source].alias("source"), F.col("d")[text].alias("text"))
+    plan = _mix(rows, weights, repeats).groupBy("h1", "h2").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
+    plan = stage(plan.select("h1", "h2", F.floor(F.col("all") / F.col("rows")).cast("int").alias("each"), (F.col("all") % F.col("rows")).cast("int").alias("left")).where((F.col("each") > 0) | (F.col("left") > 0)), "copies")
+    times = lambda df, n: df.select("d", F.explode(F.sequence(F.lit(1), F.col(n))).alias("copy")).select("d.*")
+    out = times(own.join(plan.where(F.col("each") > 0), ["h1", "h2"]), "each")
+    left = plan.where(F.col("left") > 0).select("h1", "h2", "left")
+    if not left.limit(1).count():
+        return out
+    return out.unionByName(times(own.join(left, ["h1", "h2"]).dropDuplicates(["h1", "h2"]), "left"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,13 +50,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """A staged table of (row, d): a number of its own for each row, and the row's columns, which can't clash with ours.
+def named(df: DataFrame, *columns: str) -> DataFrame:
+    """df as (h1, h2, d): 128 bits that name a row by some of its columns, nulls told apart, and its columns, which can't clash with ours.
 
-    Numbers are fixed by the written table, so a lost executor can't change them; they name a row where ids
-    are null or repeat.
+    Ids may be null or repeat, and a number given by Spark would need the whole table written to stay fixed.
     """
-    return stage(df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("d")), name)
+    own = [F.col(f"`{c}`") for c in columns]
+    own += [c.isNull() for c in own]
+    return df.select(F.xxhash64(F.lit(1), *own).alias("h1"), F.xxhash64(F.lit(2), *own).alias("h2"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("d"))
 
 
 def summed(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str, rows: int, part_rows: int = 1_000_000) -> DataFrame:
