@@ -9,15 +9,15 @@ from linkloom.operators.records import normalize
 from linkloom.sources import records
 
 ROWS = [
-    ("S1-100", "Acme Corporation", "123 Main Street, Suite 400", "US"),
-    ("S1-200", "Global Logistics Ltd", "456 Commerce Road", "US"),
-    ("S1-300", "Lone Star Cafe", "789 Elm Boulevard", "US"),
-    ("S1-400", "Empty Match Enterprise", "100 Industrial Parkway", "India"),
-    ("S2-101", "Acme Corp.", "123 Main St, Ste 400", "US"),
-    ("S2-201", "Global Logistics", "456 Commerce Rd", "US"),
-    ("S2-999", "Completely Unrelated Inc", "999 Nowhere Lane", "US"),
-    ("S3-102", "Acme Corp", "123 Main Street", "US"),
-    ("S3-202", "Global Logistics Limited", "", "US"),
+    ("S2-21", "Borealis Pump Corp.", "88 Harbour St, Ste 12", "US"),
+    ("S1-11", "Borealis Pump Corporation", "88 Harbour Street, Suite 12", "US"),
+    ("S3-31", "Borealis Pump Corp", "88 Harbour Street", "US"),
+    ("S1-12", "Quillfeather Textiles Ltd", "17 Saltmarsh Road", "US"),
+    ("S2-22", "Quillfeather Textiles", "17 Saltmarsh Rd", "US"),
+    ("S3-32", "Quillfeather Textiles Limited", "", "US"),
+    ("S1-13", "Night Heron Bakery", "9 Orchard Boulevard", "US"),
+    ("S1-14", "Puno Reed Boats", "30 Lago Avenue", "Peru"),
+    ("S2-90", "Zygmunt Via Kft", "6021 Delta Quay", "US"),
 ]
 
 
@@ -40,8 +40,8 @@ def pairs(df):
 
 
 def test_normal_forms(spark):
-    got = one(spark, text.business_name(F.lit("Acme Corporation")), text.business_name(F.lit("Global Logistics, Limited")), text.address(F.lit("123 Main Street, Suite 400")), text.business_name(F.lit("Café L.L.C.")), text.business_name(F.lit(None).cast("string")), text.clean_unicode(F.lit("ﬁ ½ 각")), text.business_name(F.lit("NA")))
-    assert tuple(got) == ("acme corp", "global logistics ltd", "123 main st ste 400", "cafe l l c", "", "fi 1⁄2 각", "na")
+    got = one(spark, text.business_name(F.lit("Borealis Pump Corporation")), text.business_name(F.lit("Quillfeather Textiles, Limited")), text.address(F.lit("88 Harbour Street, Suite 12")), text.business_name(F.lit("Café L.L.C.")), text.business_name(F.lit(None).cast("string")), text.clean_unicode(F.lit("ﬁ ½ 각")), text.business_name(F.lit("NA")))
+    assert tuple(got) == ("borealis pump corp", "quillfeather textiles ltd", "88 harbour st ste 12", "cafe l l c", "", "fi 1⁄2 각", "na")
 
 
 def test_numbers_and_grams(spark):
@@ -62,9 +62,9 @@ def test_similarities(spark):
 
 
 def test_id_lists(spark):
-    raw = F.lit(" S2-001, S3-002, S2-001,, S2-003 ")
+    raw = F.lit(" S3-9, S2-4, S3-9,, S2-7 ")
     got = one(spark, text.parse_ids(raw), text.format_ids(text.parse_ids(raw)), text.parse_ids(F.lit(None).cast("string")))
-    assert list(got) == [["S2-001", "S3-002", "S2-001", "S2-003"], "S2-001,S3-002,S2-003", []]
+    assert list(got) == [["S3-9", "S2-4", "S3-9", "S2-7"], "S3-9,S2-4,S2-7", []]
 
 
 def test_missing_address_by_punctuation(spark):
@@ -73,9 +73,9 @@ def test_missing_address_by_punctuation(spark):
 
 
 def test_exact_routes(sides):
-    assert pairs(routes.exact_name(*sides)) == {("S1-100", "S2-101"), ("S1-100", "S3-102"), ("S1-200", "S3-202")}
-    assert pairs(routes.exact_address(*sides)) == {("S1-100", "S2-101"), ("S1-200", "S2-201")}
-    assert pairs(routes.exact_name_and_address(*sides)) == {("S1-100", "S2-101")}
+    assert pairs(routes.exact_name(*sides)) == {("S1-11", "S2-21"), ("S1-11", "S3-31"), ("S1-12", "S3-32")}
+    assert pairs(routes.exact_address(*sides)) == {("S1-11", "S2-21"), ("S1-12", "S2-22")}
+    assert pairs(routes.exact_name_and_address(*sides)) == {("S1-11", "S2-21")}
 
 
 def test_caps_take_the_first_in_scan_order(spark):
@@ -101,10 +101,10 @@ def test_rare_tokens_overshoot(spark):
 
 
 def test_other_routes(sides):
-    assert ("S1-100", "S3-102") in pairs(routes.phonetic(*sides))
-    assert pairs(routes.char_ngram(*sides, min_overlap=5)) >= {("S1-100", "S2-101"), ("S1-200", "S2-201")}
+    assert ("S1-11", "S3-31") in pairs(routes.phonetic(*sides))
+    assert pairs(routes.char_ngram(*sides, min_overlap=5)) >= {("S1-11", "S2-21"), ("S1-12", "S2-22")}
     got = routes.tfidf(*sides).collect()
-    assert {(r.s1_id, r.target_id) for r in got} >= {("S1-100", "S2-101"), ("S1-100", "S3-102"), ("S1-200", "S2-201")}
+    assert {(r.s1_id, r.target_id) for r in got} >= {("S1-11", "S2-21"), ("S1-11", "S3-31"), ("S1-12", "S2-22")}
     assert all(0.4 <= r.score <= 1 + 1e-9 for r in got)
 
 
@@ -146,18 +146,18 @@ def test_merge_and_sets(spark, sides):
     assert pairs(candidates.missing_pairs(whole, candidates.merge([b]))) == {("S1-1", "S2-1")}
     assert pairs(candidates.within(whole, candidates.merge([b]))) == {("S1-1", "S3-1")}
     assert candidates.nested(whole).first().candidate_entity_ids == ["S2-1", "S3-1"] and candidates.total_pairs(whole) == 2
-    assert {r.s1_id for r in candidates.generate(*sides, preset="full").collect()} >= {"S1-100", "S1-200"}
+    assert {r.s1_id for r in candidates.generate(*sides, preset="full").collect()} >= {"S1-11", "S1-12"}
 
 
 def test_pair_features(sides):
     s1, t = sides
     found = candidates.generate(s1, t, ["exact_name", "exact_address"])
     f = {(r.s1_id, r.target_id): r.asDict() for r in features.pair_features(found, s1, t).collect()}
-    full, missing = f["S1-100", "S2-101"], f["S1-200", "S3-202"]
+    full, missing = f["S1-11", "S2-21"], f["S1-12", "S3-32"]
     assert list(full)[4:] == features.FEATURE_NAMES
     assert full["interaction_both_strong"] == 1.0 and full["num_routes_retrieved"] == 2.0 and full["addr_numeric_overlap"] == 2.0
     assert missing["addr_missing_target"] == 1.0 and missing["addr_missing_s1"] == 0.0 and missing["addr_token_jaccard"] == 0.0 and missing["interaction_name_strong_addr_missing"] == 1.0
-    r = features.retrieval_features(found).where("target_id = 'S2-101'").first()
+    r = features.retrieval_features(found).where("target_id = 'S2-21'").first()
     assert r.route_exact_name == 1.0 and r.route_tfidf == 0.0 and r.max_route_score == 1.0
 
 
@@ -166,7 +166,7 @@ def scored(spark, rows):
 
 
 def test_decisions(spark, sides):
-    df = scored(spark, [("a", "S2-1", 0.92), ("a", "S2-2", 0.40), ("a", "S3-1", 0.88), ("b", "S2-1", 0.3), *[("c", f"S2-{i}", 0.9) for i in range(10)]])
+    df = scored(spark, [("a", "S2-1", 0.91), ("a", "S2-2", 0.37), ("a", "S3-1", 0.86), ("b", "S2-1", 0.3), *[("c", f"S2-{i}", 0.9) for i in range(10)]])
     got = decide.decide(df, 0.5, 3).orderBy("s1_id", "rank").collect()
     assert [(r.s1_id, r.target_id) for r in got] == [("a", "S2-1"), ("a", "S3-1"), ("c", "S2-0"), ("c", "S2-1"), ("c", "S2-2")]
     assert decide.decide(df, 0.5, 1).where("s1_id = 'c'").count() == 2  # the cap is first looked at after two
@@ -178,22 +178,22 @@ def test_decisions(spark, sides):
 
 
 def test_ambiguity(spark):
-    df = scored(spark, [("a", "x", 0.82), ("a", "y", 0.81), ("b", "x", 0.95), ("b", "y", 0.60), ("c", "x", 0.7)])
+    df = scored(spark, [("a", "x", 0.77), ("a", "y", 0.76), ("b", "x", 0.93), ("b", "y", 0.55), ("c", "x", 0.7)])
     got = {r.s1_id: r for r in decide.ambiguous(df).collect()}
     assert got["a"].is_ambiguous and not got["b"].is_ambiguous and not got["c"].is_ambiguous
-    assert abs(got["b"].margin - 0.35) < 1e-9 and got["c"].margin == 1.0
+    assert abs(got["b"].margin - 0.38) < 1e-9 and got["c"].margin == 1.0
 
 
 def test_evidence(spark, sides):
     _, t = sides
-    r = one(spark, *evidence.triangle_support(F.lit(0.9), F.lit(0.85), F.lit(0.88), 0.7).values(), *evidence.triangle_support(F.lit(0.9), F.lit(0.3), F.lit(0.2), 0.7).values())
-    assert r[0] and r[1] == 0.85 and not r[3]
-    found = scored(spark, [("S1-100", "S2-101", 0.9), ("S1-100", "S3-102", 0.9), ("S1-100", "S2-999", 0.9)])
+    r = one(spark, *evidence.triangle_support(F.lit(0.95), F.lit(0.81), F.lit(0.86), 0.7).values(), *evidence.triangle_support(F.lit(0.8), F.lit(0.4), F.lit(0.1), 0.7).values())
+    assert r[0] and r[1] == 0.81 and not r[3]
+    found = scored(spark, [("S1-11", "S2-21", 0.9), ("S1-11", "S3-31", 0.9), ("S1-11", "S2-90", 0.9)])
     w = {x.target_id: (x.witness_id, x.witness_score) for x in evidence.strongest_witness(found, t).collect()}
-    assert w["S2-101"][0] == "S3-102" and w["S2-101"][1] > 0.8 and w["S2-999"] == (None, 0.0)
+    assert w["S2-21"][0] == "S3-31" and w["S2-21"][1] > 0.8 and w["S2-90"] == (None, 0.0)
     rel = {x.s2_id: x.relationship for x in evidence.relationships(found, t).collect()}
-    assert rel == {"S2-101": "support", "S2-999": "contradiction"}
-    assert {x.s2_id: x.is_closed for x in evidence.triangles(found, t).collect()} == {"S2-101": True, "S2-999": False}
+    assert rel == {"S2-21": "support", "S2-90": "contradiction"}
+    assert {x.s2_id: x.is_closed for x in evidence.triangles(found, t).collect()} == {"S2-21": True, "S2-90": False}
 
 
 def links(spark, rows):
@@ -270,7 +270,7 @@ def test_tables(spark, tmp_path):
             records.load_config(f"{tmp_path}/{name}")
     n = normalize(table(spark, ROWS))
     records.write_partitioned(n.where("entity_id like 'S1%'"), n.where("entity_id not like 'S1%'"), f"{tmp_path}/p")
-    assert records.read_country(spark, f"{tmp_path}/p", "s1", [" INDIA "]).count() == 1 and records.read_country(spark, f"{tmp_path}/p", "targets").count() == 5
+    assert records.read_country(spark, f"{tmp_path}/p", "s1", [" PERU "]).count() == 1 and records.read_country(spark, f"{tmp_path}/p", "targets").count() == 5
 
 
 def test_train_and_predict(spark, tmp_path, sides):
@@ -294,7 +294,7 @@ def test_train_and_predict(spark, tmp_path, sides):
 def test_streamed_arrivals(spark, tmp_path, sides):
     from linkloom.streaming import arrivals
 
-    table(spark, ROWS[:4]).write.parquet(f"{tmp_path}/in")
+    table(spark, [r for r in ROWS if r[0].startswith("S1")]).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(table(spark, ROWS[:1]).schema).parquet(f"{tmp_path}/in")
     q = arrivals.write_arrivals(arrivals.match_arrivals(stream, arrivals.postings(sides[1])), f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(120)
