@@ -90,15 +90,16 @@ def phonetic(s1: DataFrame, targets: DataFrame, max_candidates_per_key: int = 20
     return _by_key(s1, targets, _one(phonetic_key(F.col("name_tokens")), False), max_candidates_per_key, "phonetic", 0.6)
 
 
-def rare_tokens(s1: DataFrame, targets: DataFrame, min_doc_freq: int = 2, max_doc_freq: int = 50, max_candidates: int = 50) -> DataFrame:
+def rare_tokens(s1: DataFrame, targets: DataFrame, min_doc_freq: int = 2, max_doc_freq: int = 50, max_candidates: int = 50, count_repeats: bool = False) -> DataFrame:
     """Postings of tokens of 4 characters or more, not all digits, that min to max targets hold.
 
     A record takes its tokens in order and adds whole postings until it has max_candidates, so it may
-    end with almost twice as many; a token that a record repeats takes two places of its posting.
+    end with almost twice as many; a token that a record repeats takes two places of its posting, and
+    with count_repeats also counts twice for the limits.
     """
     fits = lambda t: (F.length(t) >= 4) & ~t.rlike(r"^\p{Nd}+$")
     words = keyed(targets, F.filter("name_tokens", fits), "target_id")
-    rare = words.groupBy("key").agg(F.countDistinct("target_id").alias("df")).where(F.col("df").between(min_doc_freq, max_doc_freq)).select("key")
+    rare = words.groupBy("key").agg((F.count(F.lit(1)) if count_repeats else F.countDistinct("target_id")).alias("df")).where(F.col("df").between(min_doc_freq, max_doc_freq)).select("key")
     postings = capped(words.join(rare, "key"), ["key"], max_candidates)
     lists = postings.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", "target_id"))).alias("posting"))
     asked = keyed(s1, F.filter("name_tokens", fits), "s1_id").join(lists, "key").groupBy("s1_id").agg(F.array_sort(F.collect_list(F.struct("pos", "posting"))).alias("lists"))
@@ -107,6 +108,11 @@ def rare_tokens(s1: DataFrame, targets: DataFrame, min_doc_freq: int = 2, max_do
     return asked.select("s1_id", F.explode(folded).alias("p")).select("s1_id", "p.target_id", F.lit("rare_tokens").alias("route"), F.lit(0.8).alias("score"), "p.ord")
 
 
+def rare_tokens_by_occurrence(s1: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rare-token rule of an index built in one pass: a token counts where it occurs 2 to 25 times in all, repeats included."""
+    return rare_tokens(s1, targets, 2, 25, count_repeats=True)
+
+
 def _terms(df: DataFrame, id_name: str, ngram_range: tuple[int, int]) -> DataFrame:
     """(id, term, tf): word n-grams, of words of two characters or more."""
     words = F.filter(F.concat("name_tokens", "address_tokens"), lambda t: F.length(t) >= 2)

@@ -132,6 +132,14 @@ _route("char_ngram", _NGRAMS)
 _route("rare_tokens", "FROM rare", _RARE_VIEWS)
 
 
+_BY_OCCURRENCE = _RARE_VIEWS.replace("count(DISTINCT target_id) BETWEEN 2 AND 50", "count(*) BETWEEN 2 AND 25")
+
+
+@query("er_route_rare_by_occurrence", f", {_BY_OCCURRENCE} SELECT s1_id, target_id FROM rare")
+def _rare_by_occurrence(spark, sf_dir):
+    return routes.rare_tokens_by_occurrence(*_sides(spark, sf_dir)).select("s1_id", "target_id")
+
+
 @query("er_route_name_by_country", f"SELECT s1_id, target_id FROM ({_COUNTRY})")
 def _by_country(spark, sf_dir):
     return routes.exact_name(*_sides(spark, sf_dir), country_partition=True, max_candidates_per_key=10).select("s1_id", "target_id")

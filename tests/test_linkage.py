@@ -100,6 +100,13 @@ def test_rare_tokens_overshoot(spark):
     assert pairs(routes.rare_tokens(s1, t, 4, 50, 4)) == set()
 
 
+def test_rare_tokens_by_occurrence_drop_the_26th(spark):
+    rows = [("S1-1", "marten osprey plover", "", ""), *[(f"S2-{i}", "marten marten" if i < 12 else "osprey", "", "") for i in range(38)], ("S2-90", "marten", "", ""), ("S2-91", "plover", "", "")]
+    n = normalize(table(spark, rows))
+    s1, t = n.where("entity_id like 'S1%'"), n.where("entity_id like 'S2%'")
+    assert pairs(routes.rare_tokens_by_occurrence(s1, t)) == {("S1-1", f"S2-{i}") for i in [*range(12), 90]}  # 25 martens, 26 ospreys, one plover
+
+
 def test_other_routes(sides):
     assert ("S1-11", "S3-31") in pairs(routes.phonetic(*sides))
     assert pairs(routes.char_ngram(*sides, min_overlap=5)) >= {("S1-11", "S2-21"), ("S1-12", "S2-22")}
