@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ def train_verb(spark, args) -> int:
     s1, targets = _sources(spark, args)
     out = linkage.train(s1, targets, _truth(spark, args), args.train_entities, args.validation_entities, preset=args.preset, report=args.report, model_path=args.model)
     print(json.dumps({k: v for k, v in out.items() if k != "matcher"}, indent=2))
+    if args.log:
+        linkage.append_experiment(linkage.experiment(out, args.experiment, args.commit, args.notes), args.log)
     return 0
 
 
@@ -87,7 +90,7 @@ def profile_verb(spark, args) -> int:
             profile.truth(rows).show(truncate=False)
             profile.cardinalities(rows).show(truncate=False)
         else:
-            rows = records.with_order(records.read_source(spark, path))
+            rows = records.with_order(records.read_source(spark, path, args.max_rows))
             for df in (profile.source(rows), profile.countries(rows), profile.frequent(rows)):
                 df.show(100, truncate=False)
     return 0
@@ -96,10 +99,16 @@ def profile_verb(spark, args) -> int:
 def bench_verb(spark, args) -> int:
     s1, targets = _sources(spark, args)
     truth = _truth(spark, args)
-    found = {r: linkage.staged(BY_NAME[r](s1, targets), r) for r in args.routes}
-    for name, df in found.items():
-        metrics.blocking_stats(df, truth, s1, targets, name).show(truncate=False)
-    metrics.blocking_stats(candidates.merge(list(found.values())), truth, s1, targets, "+".join(args.routes)).show(truncate=False)
+    found, seconds = {}, {}
+    for r in args.routes:
+        began = time.time()
+        found[r] = linkage.staged(BY_NAME[r](s1, targets), r)
+        seconds[r] = round(time.time() - began, 2)
+    began = time.time()
+    every = linkage.staged(candidates.merge(list(found.values())), "all")
+    seconds["+".join(args.routes)] = round(sum(seconds.values()) + time.time() - began, 2)
+    for name, df in [*found.items(), ("+".join(args.routes), every)]:
+        metrics.blocking_stats(df, truth, s1, targets, name).withColumn("seconds", F.lit(seconds[name])).show(truncate=False)
     return 0
 
 
@@ -126,6 +135,10 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--validation-entities", type=int, default=12_000)
     v.add_argument("--report", required=True)
     v.add_argument("--model", required=True)
+    v.add_argument("--log")
+    v.add_argument("--experiment", default="")
+    v.add_argument("--commit", default="")
+    v.add_argument("--notes", default="")
     v = verb("predict", predict_verb, True)
     v.add_argument("--model", required=True)
     v.add_argument("--report", required=True)
@@ -141,6 +154,7 @@ def parser() -> argparse.ArgumentParser:
     v = verb("profile", profile_verb)
     v.add_argument("files", nargs="+")
     v.add_argument("--truth-file", action="store_true")
+    v.add_argument("--max-rows", type=int)
     v = verb("bench-blocking", bench_verb, True, True)
     v.add_argument("--routes", nargs="+", default=list(BY_NAME), choices=list(BY_NAME))
     return p

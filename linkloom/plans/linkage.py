@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,7 +79,36 @@ def predict(s1: DataFrame, targets: DataFrame, matcher: model.Matcher, threshold
     return records.assemble(s1, ids, "matched_entity_ids"), records.assemble(s1, lists, "candidate_entity_ids")
 
 
-def append_experiment(spark: SparkSession, row: dict, path: str) -> None:
-    """One line of an experiment log."""
-    flat = {k: (json.dumps(v) if isinstance(v, dict | list) else str(v)) for k, v in row.items()}
-    spark.createDataFrame([tuple(flat.values())], ", ".join(f"`{k}` string" for k in flat)).coalesce(1).write.mode("append").csv(path, header=True)
+#: Columns of the experiment log (fixed names).
+EXPERIMENT_COLUMNS = ["experiment_id", "date", "git_commit", "hypothesis", "change", "configuration", "candidate_recall", "candidate_count", "precision", "recall", "macro_f0_5", "singleton_accuracy", "runtime", "status", "notes"]
+
+
+def experiment(out: dict, experiment_id: str, commit: str = "", notes: str = "", **columns: str) -> dict:
+    """The log line of a result of train(); columns gives what can't be told from it."""
+    found, measured = out["candidate_recall"], out["metrics"]
+    four = lambda x: "" if x is None else round(x, 4)
+    known = {
+        "experiment_id": experiment_id,
+        "date": time.strftime("%Y-%m-%d"),
+        "git_commit": commit,
+        "configuration": f"threshold={out['optimal_threshold']}",
+        "candidate_recall": four(found["candidate_recall"]),
+        "candidate_count": found["total_candidate_pairs"],
+        "precision": four(measured["mean_precision"]),
+        "recall": four(measured["mean_recall"]),
+        "macro_f0_5": four(measured["macro_f0_5"]),
+        "singleton_accuracy": four(measured["singleton_accuracy"]),
+        "runtime": f"{out['runtime_s']:.1f}s",
+        "notes": notes,
+    } | columns
+    return {k: str(known.get(k, "")) for k in EXPERIMENT_COLUMNS}
+
+
+def append_experiment(row: dict, path: str) -> None:
+    """Appends one line to the log, a local file, with the header where it is new."""
+    new = not os.path.exists(path)
+    with open(path, "a", encoding="utf-8", newline="") as f:
+        w = csv.DictWriter(f, EXPERIMENT_COLUMNS)
+        if new:
+            w.writeheader()
+        w.writerow(row)

@@ -6,6 +6,7 @@ lists joined by commas, so that results can be compared by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from linkloom.functions import text
 from linkloom.operators import candidates, decide, evidence, features, metrics, model, profile, routes, validate
 from linkloom.operators.records import normalize
 from linkloom.sources import bridge, records
-from linkloom.sources.stages import staged
+from linkloom.sources.stages import scratch, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -520,3 +521,134 @@ def _profile_truth(spark, sf_dir):
 @query("er_cardinalities", f", {_TRUTH_ROWS} SELECT k::INT AS matches, count(*) AS n FROM tr GROUP BY k")
 def _cardinalities(spark, sf_dir):
     return profile.cardinalities(_truth_table(spark, sf_dir))
+
+
+@query("er_split_entities", "SELECT entity_id, CASE WHEN n <= 600 THEN 'train' ELSE 'validation' END AS part FROM (SELECT entity_id, row_number() OVER (ORDER BY ord) AS n FROM s) WHERE n <= 900")
+def _split_entities(spark, sf_dir):
+    """The sampling operator, whose feature are its sizes."""
+    first, held = model.split_entities(_sides(spark, sf_dir)[0].select("entity_id", "ord"), 600, 300)
+    return first.select("entity_id", F.lit("train").alias("part")).unionByName(held.select("entity_id", F.lit("validation").alias("part")))
+
+
+@query("er_truth_sample", "SELECT s.entity_id, s.ord, s.name_norm, coalesce(string_agg(q.target_id, ',' ORDER BY q.target_id), '') AS matches FROM s LEFT JOIN truth q ON q.s1_id = s.entity_id GROUP BY 1, 2, 3 ORDER BY s.ord LIMIT 700")
+def _truth_sample(spark, sf_dir):
+    """The sampling operator over a truth table in scan order, and the S1 records that it names."""
+    s1, _ = _sides(spark, sf_dir)
+    table = _truth_table(spark, sf_dir).join(s1.select(F.col("entity_id").alias("source1_entity_id"), "ord"), "source1_entity_id")
+    sample = staged(records.truth_sample(table, 700), "sample")
+    named = records.s1_of_truth(s1, sample).select("entity_id", "ord", "name_norm")
+    return named.join(sample.select(F.col("s1_id").alias("entity_id"), F.array_join(F.array_sort("matches"), ",").alias("matches")), "entity_id")
+
+
+@query("er_benchmark_pool", f", d AS (SELECT ord, name_norm, row_number() OVER (ORDER BY ord) AS n FROM t) SELECT ord, name_norm FROM d WHERE n <= {POOL} OR name_norm IN (SELECT name_norm FROM s)")
+def _benchmark_pool(spark, sf_dir):
+    """The sampling operator without dedup, with the name as the id that repeats."""
+    s1, targets = _sides(spark, sf_dir)
+    renamed = targets.select(F.col("name_norm").alias("entity_id"), "ord")
+    wanted = s1.select(F.array("name_norm").alias("matches"))
+    return records.target_pool(renamed, wanted, POOL, dedup=False).select("ord", F.col("entity_id").alias("name_norm"))
+
+
+@query("er_grouped_scores", f", {_SCORE} SELECT s1_id, string_agg(target_id, ',' ORDER BY rank) AS target_ids, max(score) AS first_score, min(score) AS last_score FROM z GROUP BY s1_id")
+def _grouped_scores(spark, sf_dir):
+    each = model.grouped_scores(_scored(spark, sf_dir)[3])
+    return each.select("s1_id", F.array_join("scored.target_id", ",").alias("target_ids"), F.col("scored")[0]["score"].alias("first_score"), F.element_at("scored", -1)["score"].alias("last_score"))
+
+
+@query("er_best_threshold", ORACLE_SQL["er_threshold_sweep"].removeprefix(f"WITH {bridge.SQL}") + " ORDER BY macro_f05 DESC, threshold LIMIT 1")
+def _best_threshold(spark, sf_dir):
+    """The lowest threshold with the best value to six digits."""
+    threshold, best = model.find_optimal_threshold(_threshold_sweep(spark, sf_dir))
+    return spark.createDataFrame([(threshold, best)], "threshold double, macro_f05 double")
+
+
+# Files
+
+
+def _folder(spark, name: str) -> str:
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("er_source_files", "SELECT entity_id, business_name, business_address, coalesce(country, '') AS country FROM r")
+def _source_files(spark, sf_dir):
+    """All records through files: whatever quotes, tabs and carriage returns a field has, it comes back."""
+    path = _folder(spark, "source")
+    records.write_source(bridge.records(spark, sf_dir), path)
+    return records.read_source(spark, path)
+
+
+@query("er_result_files", f""", {_UNION}, found AS (SELECT s1_id, string_agg(target_id, ',' ORDER BY route_rank, ord, target_id) AS ids, string_agg(target_id, ',' ORDER BY route_rank, ord, target_id) FILTER (best = 1.0) AS exact FROM cand GROUP BY s1_id)
+SELECT entity_id AS source1_entity_id, coalesce(exact, '') AS matched_entity_ids, coalesce(ids, '') AS candidate_entity_ids FROM s LEFT JOIN found ON s1_id = entity_id""")
+def _result_files(spark, sf_dir):
+    """Both result files with a row for every S1 record, written and read back; the matches are the candidates of exact routes."""
+    s1, _, found = _composed(spark, sf_dir)
+    exact = found.where(F.array_max(F.map_values("route_scores")) == 1.0)
+    path = _folder(spark, "results")
+    for name, df, write in (("matched_entity_ids", exact, records.write_matching_results), ("candidate_entity_ids", found, records.write_candidate_pairs)):
+        lists = candidates.nested(df).select(F.col("s1_id").alias("source1_entity_id"), F.col("candidate_entity_ids").alias(name))
+        write(records.assemble(s1, lists, name), f"{path}/{name}.tsv")
+    return records.read_truth(spark, f"{path}/matched_entity_ids.tsv").join(records.read_tsv(spark, f"{path}/candidate_entity_ids.tsv", records.CANDIDATE_COLUMNS), "source1_entity_id")
+
+
+@query("er_country_partitions", "SELECT CASE WHEN entity_id LIKE 'S1-%' THEN 's1' ELSE 'targets' END AS side, lower(trim(country)) AS country_key, entity_id, name_norm FROM r WHERE lower(trim(country)) IN ('en', 'fr')")
+def _country_partitions(spark, sf_dir):
+    """Two countries of both sides, from tables written by country."""
+    path = _folder(spark, "countries")
+    records.write_partitioned(*_sides(spark, sf_dir), path)
+    each = [records.read_country(spark, path, side, [" EN", "fr"]).select(F.lit(side).alias("side"), "country_key", "entity_id", "name_norm") for side in ("s1", "targets")]
+    return each[0].unionByName(each[1])
+
+
+#: Lists of the exact name route as result lines, with a fault by document number: none in 5 of 14 kinds.
+_FAULTS = f"""base AS (SELECT s.entity_id AS s1, s.ord, coalesce(string_agg(x.target_id, ',' ORDER BY x.ord), '') AS ids FROM s LEFT JOIN ({_NAME}) x ON x.s1_id = s.entity_id GROUP BY 1, 2)
+, kind AS (SELECT *, ord // 3000000 % 14 AS k FROM base)
+, line AS (SELECT s1, CASE k WHEN 0 THEN ids || ',' || ids WHEN 1 THEN ids || ',' || s1 WHEN 2 THEN ids || ',X9-' || s1 WHEN 3 THEN ids || ',S2-none-' || s1 WHEN 4 THEN replace(ids, ',', ', ') ELSE ids END AS rest FROM kind WHERE k NOT IN (5, 6)
+    UNION ALL SELECT s1, ids FROM kind WHERE k = 7 UNION ALL SELECT 'S1-none-' || s1, '' FROM kind WHERE k = 8)
+, own AS (SELECT s1, unnest(string_split(ids, ',')) AS id FROM base WHERE ids <> '')"""
+_RULES = """, lists AS (SELECT s1, {ids} AS ids FROM line)
+, each AS (SELECT s1, unnest(ids) AS id FROM lists)
+, bad AS (SELECT 'error' AS severity, 'matching: malformed row' AS rule, s1 AS example FROM kind WHERE k = 5
+    UNION ALL SELECT 'error', 'matching: duplicate S1 row', s1 FROM lists GROUP BY s1 HAVING count(*) > 1
+    UNION ALL SELECT 'error', 'matching: repeated id in a list', s1 FROM lists WHERE len(ids) <> len(list_distinct(ids))
+    UNION ALL SELECT 'error', 'matching: self match', id FROM each WHERE id LIKE 'S1-%'
+    UNION ALL SELECT 'error', 'matching: wrong prefix', id FROM each WHERE id[1:3] NOT IN ('S1-', 'S2-', 'S3-')
+    UNION ALL SELECT 'error', 'matching: required S1 id missing', s1 FROM base WHERE s1 NOT IN (SELECT s1 FROM line)
+    UNION ALL SELECT 'error', 'matching: S1 id not required', s1 FROM line WHERE s1 NOT IN (SELECT s1 FROM base)
+    UNION ALL SELECT '{severity}', 'matching: match is no candidate', s1 FROM each ANTI JOIN own USING (s1, id){more})
+SELECT severity, rule, count(DISTINCT example) AS n FROM bad GROUP BY 1, 2"""
+
+
+def _faulty(spark, sf_dir) -> str:
+    """A folder with both result files and the sources' ids: the candidates are right, the matches have the faults of _FAULTS."""
+    s1, targets = _sides(spark, sf_dir)
+    path = _folder(spark, "files")
+    found = routes.exact_name(s1, targets).groupBy(F.col("s1_id").alias("source1_entity_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "target_id"))), lambda x: x["target_id"]).alias("candidate_entity_ids"))
+    lists = staged(records.assemble(s1, found, "candidate_entity_ids"), "lists")
+    records.write_candidate_pairs(lists, f"{path}/candidate_pairs.tsv")
+    s, ids, k = F.col("source1_entity_id"), F.array_join("candidate_entity_ids", ","), F.expr("ord div 3000000 % 14")
+    rest = F.when(k == 0, F.concat(ids, F.lit(","), ids)).when(k == 1, F.concat(ids, F.lit(","), s)).when(k == 2, F.concat(ids, F.lit(",X9-"), s)).when(k == 3, F.concat(ids, F.lit(",S2-none-"), s)).when(k == 4, F.replace(ids, F.lit(","), F.lit(", "))).otherwise(ids)
+    line = F.concat(s, F.lit("\t"), rest)
+    values = F.when(k == 5, F.array(s)).when(k == 6, F.array().cast("array<string>")).when(k == 7, F.array(line, line)).when(k == 8, F.array(line, F.concat(F.lit("S1-none-"), s, F.lit("\t")))).otherwise(F.array(line))
+    records.write_lines(lists.select("ord", F.explode(values).alias("value")), f"{path}/matching_results.tsv", "\t".join(records.MATCH_COLUMNS))
+    fields = F.concat_ws("\t", "entity_id", F.lit("name"), F.lit("address"), F.coalesce("country", F.lit("")))
+    for n in (1, 2, 3):
+        side = s1 if n == 1 else targets.where(F.col("entity_id").startswith(f"S{n}-"))
+        records.write_lines(side.select("ord", fields.alias("value")), f"{path}/test_source{n}.tsv", "\t".join(records.SOURCE_COLUMNS))
+    return path
+
+
+@query("er_invariants", f", {_FAULTS}{_RULES.format(ids="list_filter(list_transform(string_split(rest, ','), lambda x: trim(x)), lambda x: x <> '')", severity='error', more='')}")
+def _invariants(spark, sf_dir):
+    """The pipeline's own rules over faulty files; each rule on lines fires."""
+    path = _faulty(spark, sf_dir)
+    return validate.verify_invariants(spark, f"{path}/matching_results.tsv", f"{path}/candidate_pairs.tsv", f"{path}/test_source1.tsv")[1].select("severity", "rule", "n")
+
+
+_UNKNOWN = "\n    UNION ALL SELECT 'error', 'matching: unknown id', id FROM each WHERE (id LIKE 'S2-%' OR id LIKE 'S3-%') AND id NOT IN (SELECT entity_id FROM t)"
+
+
+@query("er_validate_files", f", {_FAULTS}{_RULES.format(ids="CASE WHEN trim(rest) = '' THEN []::VARCHAR[] ELSE string_split(rest, ',') END", severity='warning', more=_UNKNOWN)}")
+def _validate_files(spark, sf_dir):
+    """The receiver's rules, which trim nothing, over the same files, with ids looked up in the sources."""
+    path = _faulty(spark, sf_dir)
+    return validate.validate(spark, f"{path}/matching_results.tsv", f"{path}/candidate_pairs.tsv", path, check_ids=True).select("severity", "rule", "n")

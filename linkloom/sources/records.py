@@ -50,6 +50,12 @@ def read_truth(spark: SparkSession, path: str, nrows: int | None = None) -> Data
     return read_tsv(spark, path, TRUTH_COLUMNS, nrows=nrows)
 
 
+def write_source(df: DataFrame, path: str) -> None:
+    """A folder of tab-separated parts, each with header, that read_source reads back as it was; a null field is empty."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in SOURCE_COLUMNS]
+    df.select(fields).write.mode("overwrite").csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def chunks(df: DataFrame, rows: int):
     """The rows of df as pandas frames of at most `rows` rows, a partition at a time on the driver."""
     import pandas as pd
@@ -115,12 +121,15 @@ def s1_of_truth(s1: DataFrame, truth: DataFrame, entities: int | None = None) ->
     return kept if entities is None else kept.orderBy("ord").limit(entities)
 
 
-def target_pool(targets: DataFrame, truth: DataFrame, pool: int) -> DataFrame:
-    """Every target that the truth needs and the first ones in scan order, up to `pool` before only needed ones are added."""
+def target_pool(targets: DataFrame, truth: DataFrame, pool: int, dedup: bool = True) -> DataFrame:
+    """Every target that the truth needs and the first ones in scan order, up to `pool` before only needed ones are added.
+
+    With dedup the first row of an id stands for all; without it, repeated ids are rows of their own.
+    """
     needed = truth.select(F.explode("matches").alias("entity_id")).distinct().withColumn("needed", F.lit(True))
-    first = dedup_targets(targets, "first")
-    early = first.orderBy("ord").limit(pool).select("entity_id").withColumn("early", F.lit(True))
-    marked = first.join(needed, "entity_id", "left").join(early, "entity_id", "left")
+    first = dedup_targets(targets, "first") if dedup else targets
+    early = first.orderBy("ord").limit(pool).select("ord").withColumn("early", F.lit(True))
+    marked = first.join(needed, "entity_id", "left").join(early, "ord", "left").select(*first.columns, "needed", "early")
     return marked.where("needed or early").drop("needed", "early")
 
 
@@ -135,20 +144,15 @@ def lines(results: DataFrame, id_column: str, list_column: str) -> DataFrame:
     return results.select("ord", F.concat_ws("\t", _unquoted(F.trim(F.col(id_column).cast("string"))), _unquoted(text.format_ids(ids))).alias("value"))
 
 
-def write_results(results: DataFrame, path: str, id_column: str, list_column: str) -> None:
-    """One tab-separated file with header, rows by ord (if there), under path; parts are sorted in parallel and appended in order."""
-    if not isinstance(results, DataFrame):
-        raise TypeError(f"results must be a DataFrame, not {type(results).__name__}")
-    spark = results.sparkSession
-    if "ord" not in results.columns:
-        results = with_order(results)
-    body = lines(results, id_column, list_column).orderBy("ord").select("value")
+def write_lines(rows: DataFrame, path: str, head: str) -> None:
+    """One file: head, then the values of rows (ord, value) by ord; parts are sorted in parallel and appended in order."""
+    spark = rows.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     to, parts = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.parts")
     fs = to.getFileSystem(conf)
-    body.write.mode("overwrite").text(parts.toString())
+    rows.orderBy("ord").select("value").write.mode("overwrite").text(parts.toString())
     out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}.tmp"), True)
-    out.write(bytearray(f"{id_column}\t{list_column}\n".encode()))
+    out.write(bytearray(f"{head}\n".encode()))
     for status in sorted((x for x in fs.listStatus(parts) if x.getPath().getName().startswith("part-")), key=lambda x: x.getPath().getName()):
         stream = fs.open(status.getPath())
         jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
@@ -159,6 +163,15 @@ def write_results(results: DataFrame, path: str, id_column: str, list_column: st
     fs.delete(parts, True)
 
 
+def write_results(results: DataFrame, path: str, id_column: str, list_column: str) -> None:
+    """One tab-separated file with header, rows by ord (if there), under path."""
+    if not isinstance(results, DataFrame):
+        raise TypeError(f"results must be a DataFrame, not {type(results).__name__}")
+    if "ord" not in results.columns:
+        results = with_order(results)
+    write_lines(lines(results, id_column, list_column), path, f"{id_column}\t{list_column}")
+
+
 def write_matching_results(results: DataFrame, path: str) -> None:
     write_results(results, path, *MATCH_COLUMNS)
 

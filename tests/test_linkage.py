@@ -315,6 +315,64 @@ def test_command_line_parses():
     assert args.run is cli.validate_verb and args.check_ids
 
 
+def write_tsv(path, columns, rows):
+    path.write_text("\t".join(columns) + "\n" + "".join("\t".join(r) + "\n" for r in rows))
+    return str(path)
+
+
+def test_verbs_end_to_end(spark, tmp_path, capsys):
+    from linkloom import cli
+
+    kinds = ("alpha", "beta", "gamma")
+    rows = [(f"S{k + 1}-{i}", f"firm number{i} {kinds[i % 3]}", f"{i + 100} long street", "US" if i % 2 else "Peru") for i in range(30) for k in range(3)]
+    sources = [a for n in (1, 2, 3) for a in (f"--source{n}", write_tsv(tmp_path / f"test_source{n}.tsv", records.SOURCE_COLUMNS, [r for r in rows if r[0].startswith(f"S{n}")]))]
+    truth = write_tsv(tmp_path / "truth.tsv", records.TRUTH_COLUMNS, [(f"S1-{i}", f"S2-{i},S3-{i}") for i in range(30)])
+    p = lambda name: str(tmp_path / name)
+    run = lambda *args: cli.main(list(args))
+
+    class Small(model.GradientBoostedMatcher):
+        def __init__(self, *args):
+            super().__init__(2, 0.3, 2)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(model, "baseline_matcher", Small)
+        m.setattr(cli, "SparkSession", type("S", (), {"builder": type("B", (), {"appName": lambda self, n: self, "getOrCreate": lambda self: spark})()}))
+        assert run("candidates", *sources, "--preset", "baseline_parity", "--out", p("c.tsv")) == 0
+        lines = (tmp_path / "c.tsv").read_text().splitlines()
+        assert lines[0].split("\t") == records.CANDIDATE_COLUMNS and len(lines) == 31 and lines[1] == "S1-0\tS2-0,S3-0"
+        assert run("features", *sources, "--out", p("f")) == 0
+        assert spark.read.parquet(p("f")).count() == 60
+        for _ in range(2):
+            assert run("train", *sources, "--truth", truth, "--train-entities", "20", "--validation-entities", "10", "--preset", "full", "--report", p("r.json"), "--model", p("model"), "--log", p("log.csv"), "--experiment", "E1") == 0
+        import csv
+
+        from linkloom.plans import linkage
+
+        log = list(csv.reader((tmp_path / "log.csv").open()))
+        assert log[0] == linkage.EXPERIMENT_COLUMNS and len(log[0]) == 15 and len(log) == 3 and log[1][0] == "E1" and float(log[1][6]) == 1.0
+        assert run("predict", *sources, "--model", p("model"), "--report", p("r.json"), "--preset", "full", "--out", p("out")) == 0
+        capsys.readouterr()
+        assert run("evaluate", "--truth", truth, "--matching", p("out/matching_results.tsv")) == 0
+        assert "macro_f0_5" in capsys.readouterr().out
+        assert run("validate", "--matching", p("out/matching_results.tsv"), "--candidates", p("out/candidate_pairs.tsv"), "--test-dir", str(tmp_path), "--check-ids", "--package", p("z.zip")) == 0
+        assert (tmp_path / "z.zip").exists()
+        assert run("profile", sources[1], "--max-rows", "7") == 0 and "|7 " in capsys.readouterr().out
+        assert run("bench-blocking", *sources, "--truth", truth, "--routes", "exact_name", "exact_address") == 0
+        assert "seconds" in capsys.readouterr().out
+
+
+def test_source_files_bring_fields_back(spark, tmp_path):
+    odd = [("S1-1", 'say "hi"', " a\tb ", "US"), ("S2-1", "", '"', ""), ("S2-2", "NA", "x\r\ny", "null"), ("S3-1", "a\\b", "\\", "é")]
+    records.write_source(table(spark, odd), f"{tmp_path}/s")
+    assert sorted(tuple(r) for r in records.read_source(spark, f"{tmp_path}/s").collect()) == sorted(odd)
+
+
+def test_benchmark_pool_keeps_repeated_ids(spark):
+    t = spark.createDataFrame([("a", 0), ("b", 1), ("a", 2), ("c", 3), ("c", 4), ("d", 5)], "entity_id string, ord long")
+    truth = spark.createDataFrame([("s", ["c"])], "s1_id string, matches array<string>")
+    assert {r.ord for r in records.target_pool(t, truth, 3, dedup=False).collect()} == {0, 1, 2, 3, 4}
+
+
 def test_entry_point_imports():
     import __spark_entry__ as e
 
