@@ -148,6 +148,21 @@ def char_ngrams(c: Column, n: int = 3) -> Column:
     return let(F.concat(F.lit(" "), F.lower(squeeze(c)), F.lit(" ")), grams)
 
 
+def trigram_numbers(c: Column) -> Column:
+    """The trigrams of char_ngrams as numbers, 21 bits a character: sets of numbers meet several times as fast as sets of strings."""
+
+    def windows(codes: Column) -> Column:
+        part = lambda j: F.slice(codes, F.lit(j + 1), F.size(codes) - 2)
+        step = lambda x, y: x * (1 << 21) + y
+        return F.array_distinct(F.zip_with(F.zip_with(part(0), part(1), step), part(2), step))
+
+    def grams(padded: Column) -> Column:
+        codes = F.transform(F.split(padded, ""), lambda x: F.ascii(x).cast("long"))
+        return F.when(F.length(padded) == 2, F.array().cast("array<long>")).otherwise(let(codes, windows))
+
+    return let(F.concat(F.lit(" "), F.lower(squeeze(c)), F.lit(" ")), grams)
+
+
 def soundex(token: Column) -> Column:
     """First letter and three digits; any letter without a code parts equal codes, vowels or not."""
     up = F.upper(token)

@@ -50,6 +50,12 @@ def test_numbers_and_grams(spark):
     assert got[1:] == ([" ac", "acm", "cme", "me "], [], [" a "], [" a "])
 
 
+def test_trigram_numbers_are_the_trigrams(spark):
+    for word in ("acme", "", "a", "aaaaaa", "é𝄞 😀z", "x y"):
+        grams, numbers = one(spark, text.char_ngrams(F.lit(word)), text.trigram_numbers(F.lit(word)))
+        assert numbers == [sum(ord(c) << 21 * (2 - i) for i, c in enumerate(g)) for g in grams]
+
+
 def test_soundex(spark):
     words = ["Robert", "Rupert", "Smith", "Smythe", "Ashcraft", "x9", ""]
     assert list(one(spark, *(text.soundex(F.lit(w)) for w in words))) == ["R163", "R163", "S530", "S530", "A226", "", ""]
