@@ -101,11 +101,14 @@ def rare_tokens(s1: DataFrame, targets: DataFrame, min_doc_freq: int = 2, max_do
     words = keyed(targets, F.filter("name_tokens", fits), "target_id")
     rare = words.groupBy("key").agg((F.count(F.lit(1)) if count_repeats else F.countDistinct("target_id")).alias("df")).where(F.col("df").between(min_doc_freq, max_doc_freq)).select("key")
     postings = capped(words.join(rare, "key"), ["key"], max_candidates)
-    lists = postings.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", "target_id"))).alias("posting"))
-    asked = keyed(s1, F.filter("name_tokens", fits), "s1_id").join(lists, "key").groupBy("s1_id").agg(F.array_sort(F.collect_list(F.struct("pos", "posting"))).alias("lists"))
-    none = F.array().cast("array<struct<ord:bigint,target_id:string>>")
+    # Postings go by scan order, a number that names the target: numbers are united by hashing, structs one against all.
+    lists = postings.groupBy("key").agg(F.array_sort(F.collect_list("ord")).alias("posting"))
+    # A token that the S1 record repeats can add nothing a second time.
+    tokens = F.array_distinct(F.filter("name_tokens", fits))
+    asked = keyed(s1, tokens, "s1_id").join(lists, "key").groupBy("s1_id").agg(F.array_sort(F.collect_list(F.struct("pos", "posting"))).alias("lists"))
+    none = F.array().cast("array<bigint>")
     folded = F.aggregate("lists", none, lambda acc, x: F.when(F.size(acc) >= max_candidates, acc).otherwise(F.array_union(acc, x["posting"])))
-    return asked.select("s1_id", F.explode(folded).alias("p")).select("s1_id", "p.target_id", F.lit("rare_tokens").alias("route"), F.lit(0.8).alias("score"), "p.ord")
+    return asked.select("s1_id", F.explode(folded).alias("ord")).join(targets.select("ord", F.col("entity_id").alias("target_id")), "ord").select("s1_id", "target_id", F.lit("rare_tokens").alias("route"), F.lit(0.8).alias("score"), "ord")
 
 
 def rare_tokens_by_occurrence(s1: DataFrame, targets: DataFrame) -> DataFrame:

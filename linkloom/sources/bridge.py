@@ -15,22 +15,29 @@ from linkloom.operators.records import normalize
 
 #: Records of a document are numbered below this.
 _MOST = 1_000_000
+_BLANK = r"[\x20\x09-\x0D]"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its scan is one wave of tasks or less, as with a single row group; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, entity_id, business_name, business_address, country, grp (null where there is no truth)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 2)), lambda i: F.struct(F.get("l", (i * 2).cast("int")).alias("name"), F.coalesce(F.get("l", (i * 2 + 1).cast("int")), F.lit("")).alias("address")))
     rows = docs.select("doc_id", "lang", lines.alias("l")).select("doc_id", "lang", F.posexplode(pairs).alias("k", "r"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("r.name"), r"[\x20\x09-\x0D]+", " ")), " ")
+    four = F.regexp_extract("r.name", rf"^{_BLANK}*+((?:[^\x20\x09-\x0D]++{_BLANK}++){{3}}[^\x20\x09-\x0D]++)", 1)
     return rows.select(
         (F.col("doc_id") * _MOST + F.col("k")).alias("ord"),
         F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("entity_id"),
         F.col("r.name").alias("business_name"),
         F.col("r.address").alias("business_address"),
         F.col("lang").alias("country"),
-        F.when(F.size(words) >= 4, F.array_join(F.slice(words, 1, 4), " ")).alias("grp"),
+        F.when(four != "", F.regexp_replace(F.lower(four), f"{_BLANK}+", " ")).alias("grp"),
     )
 
 
