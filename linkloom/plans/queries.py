@@ -255,7 +255,7 @@ def _scored(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     s1, targets, found = _composed(spark, sf_dir)
     a, b = F.col("a"), F.col("b")
     mean = (features.name_features(a, b)["name_token_jaccard"] + features.address_features(a, b)["addr_token_jaccard"]) / 2.0
-    return s1, targets, found, features.with_records(found, s1, targets).select("s1_id", "target_id", "route_rank", "ord", mean.alias("score"))
+    return s1, targets, found, features.with_records(found, s1, targets, ["name_tokens", "address_tokens", "is_address_missing"]).select("s1_id", "target_id", "route_rank", "ord", mean.alias("score"))
 
 
 def _accepted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
