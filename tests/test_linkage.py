@@ -436,3 +436,35 @@ def test_gbt_scores_every_candidate(spark, tmp_path, monkeypatch):
     spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.QUERIES["er_gbt_scores"](spark, str(tmp_path)).collect()
     assert len(fitted) == 2 and len(got) == 16 and {(r.s1_id, r.target_id) for r in got} == pairs(queries.QUERIES["er_candidate_union"](spark, str(tmp_path)))
+
+
+def test_candidate_queries_make_no_rows_of_pairs_before_the_result(spark, tmp_path, monkeypatch):
+    from linkloom.operators import compact
+    from linkloom.plans import queries
+    from linkloom.sources import bridge
+
+    # More than 50 equal names, 100 equal numbers and 200 equal sounds, words of all frequencies, repeats, blanks and marks.
+    names = ["acme shop", "Robert  heron", "rupert heron heron", "Corporation", "été 12", "", "zebra 4711"]
+    texts = [(i, f"{names[i % 7]}\n{i % 3} North Street 100{i % 2}\nword{i // 3} token{i // 70} alpha\n{'' if i % 4 else 'same road'}", "en" if i % 5 else None) for i in range(450)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    s1, targets = (df.persist() for df in bridge.sides(spark, str(tmp_path)))
+    pairs_of = candidates.generate(s1, targets, queries.COMPOSED).select("s1_id", "target_id", F.array_join("routes", ",").alias("routes"), "route_rank", "ord").persist()
+    want = {tuple(r) for r in pairs_of.collect()}
+    true = bridge.truth(s1, targets).persist()
+    entities = s1.select(F.col("entity_id").alias("s1_id"))
+    recall = metrics.candidate_recall(pairs_of, true, entities).first()
+    stats = metrics.blocking_stats(pairs_of.where("array_contains(split(routes, ','), 'exact_name')"), true, s1, targets, "name").first()
+    lists = {r.s1_id: ",".join(r.candidate_entity_ids) for r in candidates.nested(pairs_of).collect()}
+
+    def none(*_, **__):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(candidates, "generate", none)
+    monkeypatch.setattr(bridge, "truth", none)
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path))
+    assert {tuple(r) for r in run("er_candidate_union").select("s1_id", "target_id", "routes", "route_rank", "ord").collect()} == want
+    assert {r.s1_id: r.candidate_entity_ids for r in run("er_candidate_lists").collect()} == lists
+    got = run("er_candidate_recall").first()
+    assert (got.covered_matches, got.total_true_matches, got.total_candidate_pairs) == (recall.covered_matches, recall.total_true_matches, recall.total_candidate_pairs)
+    assert {tuple(r) for r in run("er_blocking_stats").where("blocker = 'name'").collect()} == {tuple(stats)}
+    assert compact.CAPS.keys() | {"rare_tokens"} == set(queries.COMPOSED)
