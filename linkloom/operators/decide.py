@@ -29,7 +29,12 @@ def decide(scored: DataFrame, threshold: float = 0.5, max_matches: int = 15, **i
 
 def decide_all(scored: DataFrame, s1: DataFrame, threshold: float = 0.5, max_matches: int = 15) -> DataFrame:
     """A row for every S1 record: source1_entity_id, matched_entity_ids (array, best first, maybe empty), ord."""
-    lists = decide(scored, threshold, max_matches).groupBy("s1_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "target_id"))), lambda x: x["target_id"]).alias("ids"))
+    return listed(decide(scored, threshold, max_matches), s1)
+
+
+def listed(accepted: DataFrame, s1: DataFrame) -> DataFrame:
+    """decide_all from accepted pairs with their rank."""
+    lists = accepted.groupBy("s1_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "target_id"))), lambda x: x["target_id"]).alias("ids"))
     every = s1.select(F.col("entity_id").alias("s1_id"), "ord").join(lists, "s1_id", "left")
     return every.select(F.col("s1_id").alias("source1_entity_id"), F.coalesce("ids", F.array().cast("array<string>")).alias("matched_entity_ids"), "ord")
 

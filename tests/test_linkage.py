@@ -468,3 +468,36 @@ def test_candidate_queries_make_no_rows_of_pairs_before_the_result(spark, tmp_pa
     assert (got.covered_matches, got.total_true_matches, got.total_candidate_pairs) == (recall.covered_matches, recall.total_true_matches, recall.total_candidate_pairs)
     assert {tuple(r) for r in run("er_blocking_stats").where("blocker = 'name'").collect()} == {tuple(stats)}
     assert compact.CAPS.keys() | {"rare_tokens"} == set(queries.COMPOSED)
+
+
+#: What the scored queries give, from rows of all pairs: of both sides, all scored pairs, accepted ones, true ones and entities.
+SCORED = {
+    "er_decide": lambda s1, t, scored, acc, true, every: acc.select("s1_id", "target_id", "score", F.col("rank").cast("long")),
+}
+
+
+@pytest.mark.parametrize("name", SCORED)
+def test_scored_queries_make_no_rows_of_pairs(spark, tmp_path, monkeypatch, name):
+    from linkloom.operators import scoring
+    from linkloom.plans import queries
+    from linkloom.sources import bridge
+
+    # Equal names, addresses, numbers and sounds beyond their caps, ties, missing addresses, a number that a record repeats.
+    names = ["acme shop", "Robert  heron", "rupert heron heron", "Corporation", "été 12", "", "zebra 4711"]
+    texts = [(i, f"{names[i % 7]} word{i // 40}\n{i % 3} North Street 100{i % 2} 1000\nRobert of the word{i // 3} alpha\n{'' if i % 4 else 'same road'}", "en" if i % 5 else None) for i in range(250)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    s1, targets, _, scored = queries._scored(spark, str(tmp_path))
+    scored = scored.persist()
+    rows = lambda df: sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    accepted = decide.decide(scored, queries.THRESHOLD, queries.MAX_MATCHES)
+    want = SCORED[name](s1, targets, scored, accepted, bridge.truth(s1, targets), s1.select(F.col("entity_id").alias("s1_id")))
+
+    def none(*_, **__):
+        raise AssertionError("pairs are made")
+
+    want = rows(want)
+    for module, f in ((candidates, "generate"), (features, "with_records"), (bridge, "truth")):
+        monkeypatch.setattr(module, f, none)
+    monkeypatch.setattr(scoring, "SHARE", 7)
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert rows(got) == want and want
