@@ -473,6 +473,7 @@ def test_candidate_queries_make_no_rows_of_pairs_before_the_result(spark, tmp_pa
 #: What the scored queries give, from rows of all pairs: of both sides, all scored pairs, accepted ones, true ones and entities.
 SCORED = {
     "er_decide": lambda s1, t, scored, acc, true, every: acc.select("s1_id", "target_id", "score", F.col("rank").cast("long")),
+    "er_decide_cap_one": lambda s1, t, scored, acc, true, every: decide.decide(scored, 0.5, 1).select("s1_id", "target_id", "score", F.col("rank").cast("long")),
 }
 
 
