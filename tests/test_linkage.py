@@ -474,6 +474,7 @@ def test_candidate_queries_make_no_rows_of_pairs_before_the_result(spark, tmp_pa
 SCORED = {
     "er_decide": lambda s1, t, scored, acc, true, every: acc.select("s1_id", "target_id", "score", F.col("rank").cast("long")),
     "er_decide_cap_one": lambda s1, t, scored, acc, true, every: decide.decide(scored, 0.5, 1).select("s1_id", "target_id", "score", F.col("rank").cast("long")),
+    "er_decide_all": lambda s1, t, scored, acc, true, every: decide.decide_all(scored, s1, 0.5, 10).select("source1_entity_id", text.format_ids(F.col("matched_entity_ids"))),
 }
 
 
