@@ -476,6 +476,7 @@ SCORED = {
     "er_decide_cap_one": lambda s1, t, scored, acc, true, every: decide.decide(scored, 0.5, 1).select("s1_id", "target_id", "score", F.col("rank").cast("long")),
     "er_decide_all": lambda s1, t, scored, acc, true, every: decide.decide_all(scored, s1, 0.5, 10).select("source1_entity_id", text.format_ids(F.col("matched_entity_ids"))),
     "er_source_thresholds": lambda s1, t, scored, acc, true, every: decide.source_thresholds(scored, 0.6, 0.4).select("s1_id", "target_id", "score"),
+    "er_threshold_sweep": lambda s1, t, scored, acc, true, every: model.threshold_sweep(scored, true, s1, model.linspace(0.35, 0.85, 51, 3), 10),
 }
 
 
