@@ -478,6 +478,7 @@ SCORED = {
     "er_source_thresholds": lambda s1, t, scored, acc, true, every: decide.source_thresholds(scored, 0.6, 0.4).select("s1_id", "target_id", "score"),
     "er_threshold_sweep": lambda s1, t, scored, acc, true, every: model.threshold_sweep(scored, true, s1, model.linspace(0.35, 0.85, 51, 3), 10),
     "er_best_threshold": lambda s1, t, scored, acc, true, every: model.threshold_sweep(scored, true, s1, model.linspace(0.35, 0.85, 51, 3), 10).orderBy(F.desc(F.round("macro_f05", 6)), "threshold").limit(1),
+    "er_witness": lambda s1, t, scored, acc, true, every: evidence.strongest_witness(acc, t),
 }
 
 
