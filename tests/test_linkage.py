@@ -480,6 +480,7 @@ SCORED = {
     "er_best_threshold": lambda s1, t, scored, acc, true, every: model.threshold_sweep(scored, true, s1, model.linspace(0.35, 0.85, 51, 3), 10).orderBy(F.desc(F.round("macro_f05", 6)), "threshold").limit(1),
     "er_witness": lambda s1, t, scored, acc, true, every: evidence.strongest_witness(acc, t),
     "er_triangles": lambda s1, t, scored, acc, true, every: evidence.triangles(acc, t),
+    "er_relationships": lambda s1, t, scored, acc, true, every: evidence.relationships(acc, t),
 }
 
 
