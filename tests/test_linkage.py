@@ -481,6 +481,7 @@ SCORED = {
     "er_witness": lambda s1, t, scored, acc, true, every: evidence.strongest_witness(acc, t),
     "er_triangles": lambda s1, t, scored, acc, true, every: evidence.triangles(acc, t),
     "er_relationships": lambda s1, t, scored, acc, true, every: evidence.relationships(acc, t),
+    "er_entity_f05": lambda s1, t, scored, acc, true, every: metrics.per_entity(acc, true, every).select("s1_id", "n_pred", "n_true", "n_hit", "precision", "recall", "f05"),
 }
 
 
