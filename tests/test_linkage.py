@@ -483,6 +483,7 @@ SCORED = {
     "er_relationships": lambda s1, t, scored, acc, true, every: evidence.relationships(acc, t),
     "er_entity_f05": lambda s1, t, scored, acc, true, every: metrics.per_entity(acc, true, every).select("s1_id", "n_pred", "n_true", "n_hit", "precision", "recall", "f05"),
     "er_evaluate": lambda s1, t, scored, acc, true, every: metrics.evaluate(acc, true, every),
+    "er_cohorts": lambda s1, t, scored, acc, true, every: metrics.cohorts(acc, true, every),
 }
 
 
