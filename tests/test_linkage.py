@@ -484,6 +484,7 @@ SCORED = {
     "er_entity_f05": lambda s1, t, scored, acc, true, every: metrics.per_entity(acc, true, every).select("s1_id", "n_pred", "n_true", "n_hit", "precision", "recall", "f05"),
     "er_evaluate": lambda s1, t, scored, acc, true, every: metrics.evaluate(acc, true, every),
     "er_cohorts": lambda s1, t, scored, acc, true, every: metrics.cohorts(acc, true, every),
+    "er_violations": lambda s1, t, scored, acc, true, every: validate.violations(*(df.groupBy(F.col("s1_id").alias("s1")).agg(F.collect_list("target_id").alias("ids")) for df in (acc.select("s1_id", "target_id").unionByName(acc.where("rank = 1").select("s1_id", F.col("s1_id").alias("target_id"))), routes.exact_name(s1, t).select("s1_id", "target_id"))), s1.select(F.col("entity_id").alias("s1"))),
 }
 
 
