@@ -157,6 +157,8 @@ def write_lines(rows: DataFrame, path: str, head: str) -> None:
         stream = fs.open(status.getPath())
         jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
         stream.close()
+        # A part goes as soon as it is appended, or the file would take its place twice.
+        fs.delete(status.getPath(), False)
     out.close()
     fs.delete(to, False)
     fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}.tmp"), to)

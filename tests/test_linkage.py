@@ -500,7 +500,7 @@ def test_scored_queries_make_no_rows_of_pairs(spark, tmp_path, monkeypatch, name
     spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     s1, targets, _, scored = queries._scored(spark, str(tmp_path))
     scored = scored.persist()
-    rows = lambda df: sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    rows = lambda df: sorted((tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
     accepted = decide.decide(scored, queries.THRESHOLD, queries.MAX_MATCHES)
     want = SCORED[name](s1, targets, scored, accepted, bridge.truth(s1, targets), s1.select(F.col("entity_id").alias("s1_id")))
 
@@ -513,3 +513,21 @@ def test_scored_queries_make_no_rows_of_pairs(spark, tmp_path, monkeypatch, name
     monkeypatch.setattr(scoring, "SHARE", 7)
     got = queries.QUERIES[name](spark, str(tmp_path))
     assert rows(got) == want and want
+
+
+def test_result_files_make_no_rows_of_pairs(spark, tmp_path, monkeypatch):
+    from linkloom.plans import queries
+    from linkloom.sources import bridge
+
+    texts = [(i, f"{['acme shop', 'robert heron', 'rupert', ''][i % 4]}\n{i % 3} North Street 100{i % 2}", "en") for i in range(240)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    s1, targets = (df.persist() for df in bridge.sides(spark, str(tmp_path)))
+    found = candidates.generate(s1, targets, queries.COMPOSED).persist()
+    exact, every = ({r.s1_id: ",".join(r.candidate_entity_ids) for r in candidates.nested(df).collect()} for df in (found.where("array_max(map_values(route_scores)) = 1.0"), found))
+    want = {(r.entity_id, exact.get(r.entity_id, ""), every.get(r.entity_id, "")) for r in s1.collect()}
+
+    def none(*_, **__):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(candidates, "generate", none)
+    assert {tuple(r) for r in queries.QUERIES["er_result_files"](spark, str(tmp_path)).collect()} == want and len(want) == 80
