@@ -531,3 +531,90 @@ def test_result_files_make_no_rows_of_pairs(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(candidates, "generate", none)
     assert {tuple(r) for r in queries.QUERIES["er_result_files"](spark, str(tmp_path)).collect()} == want and len(want) == 80
+
+
+#: Queries over all candidates with their scores or features, from rows of pairs as SCORED has them.
+MET = {
+    "er_ambiguous": lambda s1, t, found, scored: decide.ambiguous(scored),
+    "er_grouped_scores": lambda s1, t, found, scored: model.grouped_scores(scored).select("s1_id", F.array_join("scored.target_id", ","), F.col("scored")[0]["score"], F.element_at("scored", -1)["score"]),
+    "er_pair_features": lambda s1, t, found, scored: features.pair_features(found, s1, t).select("s1_id", "target_id", *features.FEATURE_NAMES),
+}
+
+
+def met_texts(n=250):
+    names = ["acme shop", "Robert  heron", "rupert heron heron", "Corporation", "été 12", "", "zebra 4711"]
+    return [(i, f"{names[i % 7]} word{i // 40}\n{i % 3} North Street 100{i % 2} 1000\nRobert of the word{i // 3} alpha\n{'' if i % 4 else 'same road'}", "en" if i % 5 else None) for i in range(n)]
+
+
+@pytest.mark.parametrize("name", MET)
+def test_all_pairs_meet_at_keys(spark, tmp_path, monkeypatch, name):
+    from linkloom.operators import meeting
+    from linkloom.plans import queries
+
+    spark.createDataFrame(met_texts(), "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    s1, targets, found, scored = queries._scored(spark, str(tmp_path))
+    rows = lambda df: sorted((tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    want = rows(MET[name](s1, targets, found, scored))
+
+    def none(*_, **__):
+        raise AssertionError("pairs are made")
+
+    for module, f in ((candidates, "generate"), (features, "with_records")):
+        monkeypatch.setattr(module, f, none)
+    monkeypatch.setattr(meeting, "SHARE", 7)
+    monkeypatch.setattr(meeting, "FIRST_LOOK", 55)
+    assert rows(queries.QUERIES[name](spark, str(tmp_path))) == want and want
+
+
+def test_edit_distances_side_by_side():
+    import random
+
+    import numpy as np
+
+    from linkloom.operators.meeting import Lanes
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    random.seed(1)
+    texts = ["", "a", *("".join(random.choice("abc é") for _ in range(random.randint(0, 90))) for _ in range(40))]
+    lanes = Lanes(texts)
+    for a in [*texts, "aaaa"]:
+        longer = [max(len(a), len(b)) for b in texts]
+        want = [0.0 if not a or not b or abs(len(a) - len(b)) / n > text.LENGTH_GATE else 1.0 - distance(a, b) / n for b, n in zip(texts, longer)]
+        assert lanes.similar(a, np.ones(len(texts), bool)).tolist() == want
+
+
+def test_gbt_scores_make_no_rows_of_pairs(spark, tmp_path, monkeypatch):
+    from linkloom.plans import queries
+    from linkloom.sources import bridge
+
+    fitted = []
+
+    class Constant:
+        def fit(self, pairs):
+            fitted.append({(r.s1_id, r.target_id): (r.name_edit_similarity, r.addr_token_jaccard) for r in pairs.collect()})
+            return self
+
+        def predict_proba(self, pairs):
+            return pairs.withColumn("score", F.col("name_edit_similarity"))
+
+    spark.createDataFrame(met_texts(120), "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    every = {(r.s1_id, r.target_id): (r.name_edit_similarity, r.addr_token_jaccard) for r in queries.QUERIES["er_pair_features"](spark, str(tmp_path)).collect()}
+    true = pairs(bridge.truth(*queries._sides(spark, str(tmp_path))))
+
+    def none(*_, **__):
+        raise AssertionError("pairs are made")
+
+    for module, f in ((candidates, "generate"), (features, "with_records"), (bridge, "truth")):
+        monkeypatch.setattr(module, f, none)
+    monkeypatch.setattr(model, "baseline_matcher", Constant)
+    monkeypatch.setattr(queries, "FIT_ROWS", 50)
+    got = {(r.s1_id, r.target_id): (r.label, r.score) for r in queries.QUERIES["er_gbt_scores"](spark, str(tmp_path)).collect()}
+    assert got == {p: (float(p in true), x[0]) for p, x in every.items()} and {1.0, 0.0} == {x[0] for x in got.values()}
+    assert [len(f) for f in fitted] == [50, 50] and all(every[p] == x for f in fitted for p, x in f.items()) and not fitted[0].keys() & fitted[1].keys()
