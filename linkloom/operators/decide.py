@@ -46,10 +46,22 @@ def top_margin(scored: DataFrame) -> DataFrame:
     return agg.select("s1_id", "n", "top_score", F.when(F.col("n") == 1, 1.0).otherwise(F.col("top_score") - F.col("second")).alias("margin"))
 
 
-def ambiguous(scored: DataFrame, margin_threshold: float = 0.03, score_threshold: float = 0.60) -> DataFrame:
+def listed_margin(lists: DataFrame) -> DataFrame:
+    """top_margin of rows of s1 and an array of scores, some for each s1: only the best two of a row are shuffled."""
+    best = F.slice(F.sort_array("score", asc=False), 1, 2)
+    agg = lists.select("s1", F.size("score").cast("long").alias("n"), best.alias("best")).groupBy("s1").agg(F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list("best")), asc=False).alias("best"))
+    top = agg.select("s1", "n", F.col("best")[0].alias("top_score"), F.get("best", F.lit(1)).alias("second"))
+    return top.select("s1", "n", "top_score", F.when(F.col("n") == 1, 1.0).otherwise(F.col("top_score") - F.col("second")).alias("margin"))
+
+
+def flagged(margins: DataFrame, margin_threshold: float = 0.03, score_threshold: float = 0.60) -> DataFrame:
     """top_margin with is_ambiguous: two candidates or more, a good best one and a small lead."""
     flag = (F.col("n") >= 2) & (F.col("top_score") >= score_threshold) & (F.col("margin") < margin_threshold)
-    return top_margin(scored).withColumn("is_ambiguous", flag)
+    return margins.withColumn("is_ambiguous", flag)
+
+
+def ambiguous(scored: DataFrame, margin_threshold: float = 0.03, score_threshold: float = 0.60) -> DataFrame:
+    return flagged(top_margin(scored), margin_threshold, score_threshold)
 
 
 def source_thresholds(scored: DataFrame, s2_threshold: float = 0.5, s3_threshold: float = 0.5) -> DataFrame:
