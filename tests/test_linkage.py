@@ -618,3 +618,35 @@ def test_gbt_scores_make_no_rows_of_pairs(spark, tmp_path, monkeypatch):
     got = {(r.s1_id, r.target_id): (r.label, r.score) for r in queries.QUERIES["er_gbt_scores"](spark, str(tmp_path)).collect()}
     assert got == {p: (float(p in true), x[0]) for p, x in every.items()} and {1.0, 0.0} == {x[0] for x in got.values()}
     assert [len(f) for f in fitted] == [50, 50] and all(every[p] == x for f in fitted for p, x in f.items()) and not fitted[0].keys() & fitted[1].keys()
+
+
+def test_char_ngram_counts_in_a_grid(spark, monkeypatch):
+    from linkloom.operators import ngrams
+
+    def none(*_, **__):
+        raise AssertionError("rows of grams are joined")
+
+    monkeypatch.setattr(routes, "capped", none)
+    monkeypatch.setattr(ngrams, "SHARE", 10)
+    monkeypatch.setattr(ngrams, "BATCH", 5)
+    words = ["acme", "acme shop", "shop", "a", "", "zebra store", "store 12", "été"]
+    # Ids repeat; the cap is met in the middle of a range and in later ones.
+    rows = [(f"S1-{i % 20}", f"{words[i % 8]}", i) for i in range(25)] + [(f"S2-{i % 55}", f"{words[i % 8]} {words[i % 5]}".strip(), 1000 - i) for i in range(60)]
+    df = spark.createDataFrame(rows, "entity_id string, name_norm string, ord long")
+    s1, targets = df.where("entity_id like 'S1%'"), df.where("entity_id not like 'S1%'")
+    for n, least, cap in ((3, 3, 7), (2, 1, 500), (4, 2, 30)):
+        grams = lambda w: {f" {w} "[k : k + n] for k in range(max(1, len(w) + 3 - n))} if w else set()  # noqa: E731, B023
+        held = {}
+        for e, w, o in sorted(rows, key=lambda r: r[2]):
+            for g in grams(w) if e.startswith("S2") else ():
+                held.setdefault(g, []).append((e, o))
+        shared, first = {}, {}
+        for e, w, _ in rows:
+            for g in grams(w) if e.startswith("S1") else ():
+                for t, o in held.get(g, [])[:cap]:
+                    shared[e, t] = shared.get((e, t), 0) + 1
+                    first[t] = min(o, first.get(t, o))
+        want = {(e, t) for (e, t), c in shared.items() if c >= least}
+        got = routes.char_ngram(s1, targets, n, least, cap).collect()
+        assert want and len(got) == len(want) and {(r.s1_id, r.target_id) for r in got} == want
+        assert all(r.ord >= first[r.target_id] and r.route == "char_ngram" for r in got)
