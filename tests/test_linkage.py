@@ -650,3 +650,39 @@ def test_char_ngram_counts_in_a_grid(spark, monkeypatch):
         got = routes.char_ngram(s1, targets, n, least, cap).collect()
         assert want and len(got) == len(want) and {(r.s1_id, r.target_id) for r in got} == want
         assert all(r.ord >= first[r.target_id] and r.route == "char_ngram" for r in got)
+
+
+def test_tfidf_meets_in_a_grid(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    from linkloom.operators import nearest
+
+    for name, value in (("BUCKETS", 64), ("PARTS", 4), ("BLOCK", 10), ("CELLS", 8)):
+        monkeypatch.setattr(nearest, name, value)
+    random.seed(3)
+    # Ids repeat, some vectors are empty, and equal terms and scores are many.
+    word = lambda: random.choice(["aa", "bb", "cc", "dd", "ee", "ff", "x", "gg hh", "zz"])
+    rows = [(f"S{1 + (i % 3 > 0)}-{i % 50}", " ".join(word() for _ in range(i % 7)).split(), ["st"] * (i % 2), i) for i in range(70)]
+    df = spark.createDataFrame(rows, "entity_id string, name_tokens array<string>, address_tokens array<string>, ord long")
+    s1, targets = df.where("entity_id like 'S1%'"), df.where("entity_id like 'S2%'")
+    counts = {}
+    for e, a, b, _ in rows:
+        w = [x for x in a + b if len(x) > 1]
+        counts.setdefault(e, Counter()).update(w + [" ".join(p) for p in zip(w, w[1:])])
+    n = sum(r[0].startswith("S2") for r in rows)
+    every = sum((c for e, c in counts.items() if e.startswith("S2")), Counter())
+    for most in (12, 500):
+        terms = sorted(every, key=lambda t: (-every[t], t))[:most]
+        df_of = {t: sum(t in c for e, c in counts.items() if e.startswith("S2")) for t in terms}
+        raw = {e: {t: k * (math.log((n + 1) / (df_of[t] + 1)) + 1) for t, k in c.items() if t in df_of} for e, c in counts.items()}
+        norm = {e: math.sqrt(sum(x * x for x in v.values())) for e, v in raw.items()}
+        score = {(a, b): sum(x * raw[b].get(t, 0) for t, x in raw[a].items()) / norm[a] / norm[b] for a in raw for b in raw if a < b and a[:2] == "S1" and b[:2] == "S2" and norm[a] and norm[b]}
+        first = {e: min(r[3] for r in rows if r[0] == e) for e in raw}
+        want = {}
+        for a in raw:
+            own = sorted(((p, x) for p, x in score.items() if p[0] == a and x >= 0.4), key=lambda y: (-round(y[1], 9), first[y[0][1]]))[:5]
+            want |= {p: round(x, 6) for p, x in own}
+        got = routes.tfidf(s1, targets, 5, 0.4, most).collect()
+        assert want and len(got) == len(want) and {(r.s1_id, r.target_id): round(r.score, 6) for r in got} == want
