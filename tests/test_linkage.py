@@ -686,3 +686,37 @@ def test_tfidf_meets_in_a_grid(spark, monkeypatch):
             want |= {p: round(x, 6) for p, x in own}
         got = routes.tfidf(s1, targets, 5, 0.4, most).collect()
         assert want and len(got) == len(want) and {(r.s1_id, r.target_id): round(r.score, 6) for r in got} == want
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from linkloom.sources.stages import CLEANUP, staged
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    before, setting = files(), spark.conf.get(CLEANUP)
+    df = staged(spark.range(10_000).withColumn("x", F.col("id") % 7).repartition(5, "x"), "spread")
+    end = time.time() + 10
+    while (left := {f for f in files() - before if f.startswith("shuffle_")}) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and df.count() == 10_000 and spark.conf.get(CLEANUP) == setting
+
+
+def test_rare_pairs_meet_at_the_first_word_alone(spark, tmp_path):
+    from linkloom.operators import scoring
+    from linkloom.plans import queries
+
+    # Twelve near copies each share all their words but one; a word of all records is too frequent, one is in a single target.
+    words = "alder birch cedar ebony"
+    texts = [(i, f"{'xyz'[i % 3]}own{i} {words} {'linden' if i < 36 else 'poplar'}", "en") for i in range(72)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    s1, targets = queries._slim(spark, str(tmp_path), scored=True)
+    rows = scoring._rare(s1, targets, 0.3).collect()
+    own = {r.ord: set(r.name_norm.split()) for r in s1.unionByName(targets).collect()}
+    alike = {(a, b) for a in own for b in own if a // 1_000_000 % 3 == 0 and b // 1_000_000 % 3 and len(own[a] & own[b]) >= 5}
+    assert {(r.s1, r.target) for r in rows} >= alike and len(rows) == len({(r.s1, r.target) for r in rows})
+    # All four words of all records are in 48 targets: the first is where all meet, and each S1 text goes there once.
+    assert {r.key for r in rows} == {"alder"} and len({(r.s1, r.key) for r in rows}) == 24
