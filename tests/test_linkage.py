@@ -720,3 +720,19 @@ def test_rare_pairs_meet_at_the_first_word_alone(spark, tmp_path):
     assert {(r.s1, r.target) for r in rows} >= alike and len(rows) == len({(r.s1, r.target) for r in rows})
     # All four words of all records are in 48 targets: the first is where all meet, and each S1 text goes there once.
     assert {r.key for r in rows} == {"alder"} and len({(r.s1, r.key) for r in rows}) == 24
+
+
+def test_two_targets_are_compared_once_for_all_records(spark, sides):
+    _, t = sides
+    found = scored(spark, [(f"S1-{i}", target, 0.9) for i in range(20) for target in ("S2-21", "S3-31", "S2-90")])
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(a):
+        looked.add(1)
+        return a
+
+    got = evidence.opposite_pairs(found, t, {"names": lambda a, b: F.concat(name(a["name_norm"]), F.lit("|"), b["name_norm"])}).collect()
+    assert len(got) == 40 and looked.value == 2
+    names = {r.entity_id: r.name_norm for r in t.collect()}
+    assert {(r.a.id, r.b.id, r.names) for r in got} == {(a, "S3-31", f"{names[a]}|{names['S3-31']}") for a in ("S2-21", "S2-90")}
