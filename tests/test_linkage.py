@@ -736,3 +736,23 @@ def test_two_targets_are_compared_once_for_all_records(spark, sides):
     assert len(got) == 40 and looked.value == 2
     names = {r.entity_id: r.name_norm for r in t.collect()}
     assert {(r.a.id, r.b.id, r.names) for r in got} == {(a, "S3-31", f"{names[a]}|{names['S3-31']}") for a in ("S2-21", "S2-90")}
+
+
+def test_violations_make_no_rows_of_equal_names(spark, tmp_path, monkeypatch):
+    from linkloom.plans import queries
+
+    # More equal names than the route's cap, an empty one.
+    texts = [(i, f"{['acme shop', 'Acme, Shop!', 'zebra', ''][i % 4]}\n{i % 5} north street", "en") for i in range(240)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    s1, targets = queries._slim(spark, str(tmp_path))
+    every = routes.exact_name(s1, targets.withColumn("name_tokens", text.tokens(F.col("name_norm"))))
+    want = {r.s1: r.ids for r in every.groupBy(F.col("s1_id").alias("s1")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "target_id"))), lambda x: x["target_id"]).alias("ids")).collect()}
+    from linkloom.operators import compact
+
+    assert {r.s1: r.ids for r in compact.by_name(s1, targets).collect()} == want and {len(x) for x in want.values()} == {40, 50}
+
+    def none(*_, **__):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(routes, "exact_name", none)
+    assert queries.QUERIES["er_violations"](spark, str(tmp_path)).count() > 0
