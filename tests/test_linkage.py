@@ -756,3 +756,15 @@ def test_violations_make_no_rows_of_equal_names(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(routes, "exact_name", none)
     assert queries.QUERIES["er_violations"](spark, str(tmp_path)).count() > 0
+
+
+def test_texts_of_plain_and_rare_keys_are_shuffled_one_after_the_other(spark, tmp_path, monkeypatch):
+    from linkloom.operators import scoring
+    from linkloom.plans import queries
+
+    spark.createDataFrame(met_texts(60), "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    s1, targets = queries._slim(spark, str(tmp_path), scored=True)
+    names, stage = [], scoring.staged
+    monkeypatch.setattr(scoring, "staged", lambda df, name, *a: names.append((name, "score" in df.columns)) or stage(df, name, *a))
+    assert scoring.matches(s1, targets, 0.5, 10).count() > 0
+    assert [n for n, of_scores in names if of_scores] == ["plain", "rare"]
