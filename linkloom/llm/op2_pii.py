@@ -330,5 +330,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("pii_base", lambda x, r=r: x["rank"] == r)).cast("long").alias(f"n_{k}") for r, k in enumerate(BASE)]
+    # A second parameter of the lambda, even one with a default, would be the index of the span.
+    count = lambda rank: F.size(F.filter("pii_base", lambda x: x["rank"] == rank)).cast("long")
+    counts = [count(r).alias(f"n_{k}") for r, k in enumerate(BASE)]
     return rows.select("doc_id", *counts, F.sha2(written(F.col("pii_base")), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"))

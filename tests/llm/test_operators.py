@@ -570,3 +570,13 @@ def test_hnsw_audit_needs_evidence():
 
     searcher = op5_hnsw.Searcher(Blind(), 0.98)
     assert _pairs(searcher, q) == {(1, 777)} and searcher.compared == 100
+
+
+def test_pii_query_counts_each_kind(spark, tmp_path):
+    texts = [*ODD, *TEXTS, "a@b.c d@e.f g@h.i 10.0.0.1", "+1 (811) 555-3281, +49 (30) 123-4567", "4539578763621486 1.2.3.4 5.6.7.8"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op2_pii.query(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        want = plain_pii(t)
+        assert [got[i][f"n_{k}"] for k in op2_pii.BASE] == [sum(x.startswith(f"{k}:") for x in want) for k in op2_pii.BASE], t
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
