@@ -768,3 +768,27 @@ def test_texts_of_plain_and_rare_keys_are_shuffled_one_after_the_other(spark, tm
     monkeypatch.setattr(scoring, "staged", lambda df, name, *a: names.append((name, "score" in df.columns)) or stage(df, name, *a))
     assert scoring.matches(s1, targets, 0.5, 10).count() > 0
     assert [n for n, of_scores in names if of_scores] == ["plain", "rare"]
+
+
+def test_gbt_is_fitted_on_all_pairs(spark, tmp_path, monkeypatch):
+    from linkloom.operators import meeting
+    from linkloom.plans import queries
+
+    fitted, met, made = [], meeting.met, []
+
+    class Constant:
+        def fit(self, pairs):
+            fitted.append(pairs.select("s1_id", "target_id").collect())
+            return self
+
+        def predict_proba(self, pairs):
+            return pairs.withColumn("score", F.lit(0.5))
+
+    # 204 S1 records with the 200 targets of equal sound and more of equal numbers: more than 20,000 pairs a half.
+    spark.createDataFrame([(i, f"robert {chr(97 + i % 26)}\n12345 road", "en") for i in range(612)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    every = queries.QUERIES["er_candidate_recall"](spark, str(tmp_path)).first().total_candidate_pairs
+    monkeypatch.setattr(model, "baseline_matcher", Constant)
+    monkeypatch.setattr(meeting, "met", lambda *a, **k: made.append(a) or met(*a, **k))
+    got = queries.QUERIES["er_gbt_scores"](spark, str(tmp_path))
+    assert got.count() == every == sum(map(len, fitted)) == len({tuple(r) for f in fitted for r in f}) and len(made) == 1
+    assert every > 40_000 and min(map(len, fitted)) > 0
