@@ -792,3 +792,26 @@ def test_gbt_is_fitted_on_all_pairs(spark, tmp_path, monkeypatch):
     got = queries.QUERIES["er_gbt_scores"](spark, str(tmp_path))
     assert got.count() == every == sum(map(len, fitted)) == len({tuple(r) for f in fitted for r in f}) and len(made) == 1
     assert every > 40_000 and min(map(len, fitted)) > 0
+
+
+def test_features_of_wanted_targets_only_and_once_a_text(monkeypatch):
+    import pyarrow as pa
+
+    from linkloom.operators import meeting
+
+    made, asked, init, similar = [], [], meeting.Lanes.__init__, meeting.Lanes.similar
+    monkeypatch.setattr(meeting.Lanes, "__init__", lambda self, texts: made.append(list(texts)) or init(self, texts))
+    monkeypatch.setattr(meeting.Lanes, "similar", lambda self, a, wanted: asked.append(a) or similar(self, a, wanted))
+    pack, _ = meeting._zipper("")
+    # Two S1 records of one text; the second target meets both at a smaller key, the third only the one without it.
+    rows = [(0, 10, [], "acme store"), (0, 20, [0], "acme shore"), (0, 30, [3], "acme stone"), (1, 1, [0, 3], "acme shop"), (1, 2, [0], "acme shop")]
+    batch = pa.RecordBatch.from_pydict({"key": [8] * 5, "share": [0] * 5, "kind": [r[0] for r in rows], "ord": [r[1] for r in rows], "others": [r[2] for r in rows], "blob": [pack(r[3], "", "", "en") for r in rows]})
+    want = {(1, 10, 0.7), (2, 10, 0.7), (2, 30, 0.7)}
+    for waiting in (meeting.ASKING, 1):
+        monkeypatch.setattr(meeting, "ASKING", waiting)
+        got = [r for b in meeting._meet("", meeting.FEATURES, False, False, None)([batch]) for r in b.to_pylist()]
+        assert {(r["s1"], r["target"], r["name_edit_similarity"]) for r in got} == want and len(got) == 3
+        grams = {10: 5 / 14, 30: 5 / 14}
+        assert all(abs(r["name_char_ngram_similarity"] - grams[r["target"]]) < 1e-12 for r in got)
+        if waiting > 1:
+            assert [t for t in made if "acme store" in t] == [["acme store", "acme stone"]] and asked.count("acme shop") == 2
